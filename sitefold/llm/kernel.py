@@ -11,7 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK, BLOCK_TEXTS = 1 << 19, 4096
+#: Texts that are taken out of an Arrow batch at once.
+SLICE = 1024
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _BASE = 0x9E3779B97F4A7C15
@@ -61,7 +63,7 @@ def blocks(texts: list[str | None], limit: int = BLOCK) -> Iterator[tuple[int, i
     first, size = 0, 0
     for i in range(len(texts) + 1):
         n = len(texts[i] or "") if i < len(texts) else 0
-        if i == len(texts) or size and size + n > limit:
+        if i == len(texts) or size and size + n > limit or i - first >= BLOCK_TEXTS:
             if i > first:
                 part = [t or "" for t in texts[first:i]]
                 cps = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -159,6 +161,13 @@ def text_of(cps: np.ndarray, start: int, end: int) -> str:
     return cps[start:end].tobytes().decode("utf-32-le", "surrogatepass")
 
 
+def slices(column, lower: bool = True) -> Iterator[tuple[int, list[str | None]]]:
+    """First row and texts of a few rows at a time of an Arrow column, so that a batch is never held as Python strings."""
+    for a in range(0, len(column), SLICE):
+        texts = column.slice(a, SLICE).to_pylist()
+        yield a, lowered(texts) if lower else texts
+
+
 def lowered(texts: list[str | None]) -> list[str]:
     return [t.lower() if t else "" for t in texts]
 

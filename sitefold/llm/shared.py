@@ -46,3 +46,17 @@ def free_name(taken: list[str], name: str) -> str:
     while name.lower() in low:
         name = "_" + name
     return name
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing needs any more."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def filesystem(path: str):
+    """pyarrow's file system for a path of the shared folder, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))

@@ -101,7 +101,8 @@ def with_fingerprints(df: DataFrame, text: str = "text", keep: list[str] | None
     def run(batches):
         for b in batches:
             texts = b.column(b.num_columns - 1)
-            fp, null = fingerprints(texts.to_pylist()), np.asarray(texts.is_null())
+            parts = [fingerprints(t) for _, t in K.slices(texts, lower=False)]
+            fp, null = np.concatenate([np.zeros((0, WORDS), U64), *parts]), np.asarray(texts.is_null())
             new = [pa.array(x, pa.int64(), mask=null) for x in (node_ids(fp), *np.ascontiguousarray(fp.T).view(np.int64))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*kept, *names])
 

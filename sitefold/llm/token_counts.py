@@ -37,7 +37,7 @@ def frequent_table(df: DataFrame, text: str = "text", vocabulary: str = VOCABULA
     def count(batches):
         seen: Counter = Counter()
         for b in batches:
-            for first, end, cps, offsets in K.blocks(b.column(0).to_pylist()):
+            for _, _, cps, offsets in (x for _, t in K.slices(b.column(0), lower=False) for x in K.blocks(t)):
                 s, e, _ = K.pretoken_spans(cps, offsets)
                 h = K.span_hashes(cps, s, e)
                 _, i, n = np.unique(h, return_index=True, return_counts=True)
@@ -72,7 +72,7 @@ def with_token_counts(df: DataFrame, text: str = "text", out: str = "n_tokens",
         keys, sizes = sent.value
         for b in batches:
             texts = b.column(b.num_columns - 1)
-            n = encoder.counts(texts.to_pylist(), keys, sizes)
+            n = np.concatenate([np.zeros(0, np.int64), *(encoder.counts(t, keys, sizes) for _, t in K.slices(texts, lower=False))])
             counted = pa.array(n, pa.int64(), mask=np.asarray(texts.is_null()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], counted], names=[*names, name])
 
