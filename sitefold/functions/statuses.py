@@ -44,7 +44,8 @@ def next_wait(wait: Column, status: Column, retry_after: Column) -> Column:
     code, text = status_code(status), F.lower(status)
     trouble = text.contains("timeout") | text.contains("connection failed") | text.contains("request failed") | text.contains("dns lookup failed")
     longer = (
-        F.when(code == 429, F.coalesce(F.greatest(retry_after, F.lit(0.0)), F.greatest(F.lit(6.0), wait * 2)))
+        F.when((code == 429) & retry_after.isNotNull(), F.greatest(retry_after, F.lit(0.0)))
+        .when(code == 429, F.greatest(F.lit(6.0), wait * 2))
         .when(code == 403, F.greatest(F.lit(3.0), wait * 1.6 + 0.25))
         .when(code >= 500, F.greatest(F.lit(1.5), wait * 1.3 + 0.15))
         .when(F.coalesce(trouble, F.lit(False)), F.greatest(F.lit(1.5), wait * 1.2 + 0.1))

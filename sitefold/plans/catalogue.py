@@ -231,8 +231,7 @@ def q_status_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     f"""WITH {T.LOG}, a AS (SELECT user_id, list({{'st': CASE WHEN event_id % 5 = 0 THEN '429' WHEN event_id % 7 = 0 THEN '403' ELSE status END, 'ra': CASE WHEN event_id % 10 = 0 THEN 7.0::DOUBLE END}} ORDER BY event_id) AS l FROM events JOIN ov ON ov.ord = events.event_id GROUP BY user_id),
-w AS (SELECT user_id, list_reduce(list_prepend(0.0::DOUBLE, [0.0::DOUBLE FOR x IN l]), lambda a, b: a) AS z, l FROM a),
-r AS (WITH RECURSIVE f(user_id, i, n, wait, l) AS (SELECT user_id, 0, len(l), 0.0::DOUBLE, l FROM a UNION ALL SELECT user_id, i + 1, n, least(30.0::DOUBLE, CASE WHEN l[i+1].st = '429' THEN coalesce(greatest(l[i+1].ra, 0.0::DOUBLE), greatest(6.0::DOUBLE, wait * 2)) WHEN l[i+1].st = '403' THEN greatest(3.0::DOUBLE, wait * 1.6::DOUBLE + 0.25::DOUBLE)
+r AS (WITH RECURSIVE f(user_id, i, n, wait, l) AS (SELECT user_id, 0, len(l), 0.0::DOUBLE, l FROM a UNION ALL SELECT user_id, i + 1, n, least(30.0::DOUBLE, CASE WHEN l[i+1].st = '429' THEN CASE WHEN l[i+1].ra IS NOT NULL THEN greatest(l[i+1].ra, 0.0::DOUBLE) ELSE greatest(6.0::DOUBLE, wait * 2) END WHEN l[i+1].st = '403' THEN greatest(3.0::DOUBLE, wait * 1.6::DOUBLE + 0.25::DOUBLE)
  WHEN TRY_CAST(l[i+1].st AS DOUBLE) >= 500 THEN greatest(1.5::DOUBLE, wait * 1.3::DOUBLE + 0.15::DOUBLE) WHEN contains(lower(l[i+1].st), 'timeout') OR contains(lower(l[i+1].st), 'dns lookup failed') THEN greatest(1.5::DOUBLE, wait * 1.2::DOUBLE + 0.1::DOUBLE) ELSE wait * 0.85::DOUBLE END), l FROM f WHERE i < n) SELECT user_id, n, wait FROM f WHERE i = n)
 SELECT user_id, CAST(n AS BIGINT) AS attempts, round(wait, 6) AS wait FROM r"""
 )
