@@ -19,7 +19,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from fractions import Fraction
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -178,7 +177,7 @@ def least_budget(patterns: list[tuple[tuple[str, ...], int]], weights: dict[str,
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, alpha: float = ALPHA, passes: int = MOST_PASSES, seed: int = SEED, sources: tuple[str, ...] = ("source", "lang"), doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> tuple[DataFrame, Plan]:
     """docs with a column n_copies (0: not chosen), and the plan. weights: source name, as in memberships(), to weight."""
     names = docs.columns
-    member, order, bucket, copies = (free_name(names, x) for x in ("_member", "_order", "_bucket", "n_copies"))
+    member, order, copies = (free_name(names, x) for x in ("_member", "_order", "n_copies"))
     # the text is part of the key, so rows without a doc_id differ too
     key = F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
     marked = docs.withColumns({member: F.concat_ws("\x1f", memberships(docs, sources)), order: key})
@@ -212,10 +211,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int |
     for (m, _), k, r in zip(found, whole, rest):
         # hashes are compared as (bucket, value); without an end inside the bucket everything before it counts
         rows.append((m, k, start.get(m, -1) if r > 0 else -1, cuts.get(m) if r > 0 else None))
-    plan_rows = F.broadcast(spark.createDataFrame(rows, f"`{member}` string, _whole int, _end int, _cut long"))
+    whole_name, end_name, cut_name = (free_name(names, x) for x in ("_whole", "_end", "_cut"))
+    plan_rows = F.broadcast(spark.createDataFrame(rows, f"`{member}` string, `{whole_name}` int, `{end_name}` int, `{cut_name}` long"))
     b = F.shiftrightunsigned(F.col(order), 54).cast("int")
-    extra = (b < F.col("_end")) | ((b == F.col("_end")) & F.col("_cut").isNotNull() & (F.col(order) <= F.col("_cut")))
-    n_copies = F.coalesce(F.col("_whole") + F.when(extra, 1).otherwise(0), F.lit(1))
+    extra = (b < F.col(end_name)) | ((b == F.col(end_name)) & F.col(cut_name).isNotNull() & (F.col(order) <= F.col(cut_name)))
+    n_copies = F.coalesce(F.col(whole_name) + F.when(extra, 1).otherwise(0), F.lit(1))
     # patterns without tokens aren't in the plan: their rows, all empty, stay once
     empty = F.coalesce(F.col(f"`{text}`"), F.lit("")) == ""
     done = marked.join(plan_rows, member, "left").withColumn(copies, F.when(empty, 1).otherwise(n_copies).cast("int"))

@@ -13,8 +13,8 @@ Counting goes over all URLs in Spark, level by level on the already aggregated t
 a host's templates, never on its URLs.
 
 Defined results: scheme, query, fragment, case of the host and a trailing slash don't count; null URLs have null host and
-template and aren't rejected; a URL without scheme and host has the host ""; segments beyond DEPTH are one; without labels
-all purities are 1; conflicting labels of a document count as the worse; an empty table gives an empty table; other columns
+template and aren't rejected; a URL without scheme and host has the host ""; segments beyond DEPTH are one; nothing is
+rejected on a host without any label, and without labels at all purities are 1; conflicting labels of a document count as the worse; an empty table gives an empty table; other columns
 don't matter.
 """
 
@@ -174,6 +174,6 @@ def filter_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     overall = (every[1] or 0) / every[0] if every[0] else 0.0
     host_bad = (F.col("host_bad") + STRENGTH * overall) / (F.col("host_labelled") + STRENGTH)
     purity = 1 - (F.col("bad") + STRENGTH * host_bad) / (F.col("labelled") + STRENGTH)
-    side = made.select(F.col("host").alias("_h"), F.col("raw").alias("_r"), "template", "labelled", F.round(purity, 6).alias("purity"))
+    side = made.select(F.col("host").alias("_h"), F.col("raw").alias("_r"), "template", "labelled", F.round(purity, 6).alias("purity"), (F.col("host_labelled") > 0).alias("_known"))
     out = rows.join(small_or_shuffled(side), (F.col("host") == F.col("_h")) & (F.col("raw") == F.col("_r")), "left")
-    return out.select("page_id", "url", "host", "template", "labelled", "purity", F.coalesce(F.col("purity") < PURITY, F.lit(False)).alias("rejected"))
+    return out.select("page_id", "url", "host", "template", "labelled", "purity", F.coalesce((F.col("purity") < PURITY) & F.col("_known"), F.lit(False)).alias("rejected"))

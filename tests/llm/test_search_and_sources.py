@@ -124,7 +124,7 @@ def test_fingerprints_equal_brute_force(spark):
     assert M.fingerprint_embeddings(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("width, channels", itertools.product((1, 2, 3, 4), (1, 2)))
+@pytest.mark.parametrize("width, channels", list(itertools.product((1, 2, 3, 4), (1, 2))))
 def test_wav_widths(width, channels):
     value = {1: b"\xc0", 2: b"\x00\x40", 3: b"\x00\x00\x40", 4: b"\x00\x00\x00\x40"}[width]
     out = io.BytesIO()
