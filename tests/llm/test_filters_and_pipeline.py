@@ -117,7 +117,7 @@ def labelled_corpus(n=900, seed=3):
         for _ in range(r.randrange(1, 6) if toxic else 0):
             words.insert(r.randrange(len(words)), r.choice(BAD))
         rows.append((i, " ".join(words)))
-        if i % 2 == 0 or i % 7 == 0:
+        if i % 3:
             labels.append((i, int(toxic) if r.random() > 0.01 else 1 - int(toxic)))
     # many copies of one toxic document: its harmless words mustn't look toxic
     copied = prose(r, 60) + " vile"
