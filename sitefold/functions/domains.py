@@ -8,6 +8,7 @@ import zipfile
 from dataclasses import dataclass
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,9 +113,37 @@ def _all_digits(labels: Column) -> Column:
     return (F.size(labels) > 0) & F.forall(labels, lambda x: x.rlike("^[0-9]+$"))
 
 
+def suffixed(host: str | None, rules: SuffixRules) -> str | None:
+    """by_suffix() for one host."""
+    labels = [x for x in (host or "").split(".") if x]
+    for i in range(len(labels)):
+        tail = ".".join(labels[i:])
+        if tail in rules.exceptions:
+            return tail
+        if tail in rules.plain or i + 1 < len(labels) and ".".join(labels[i + 1 :]) in rules.wild:
+            return ".".join(labels[i - 1 :]) if i else None
+    return None
+
+
+def _by_lookup(host: Column, rules: SuffixRules) -> Column:
+    """by_suffix() in Arrow batches, each distinct host of a batch once."""
+
+    @F.pandas_udf("string")
+    def look(hosts: pd.Series) -> pd.Series:
+        return hosts.map({h: suffixed(h, rules) for h in hosts.dropna().unique()})
+
+    return look(host)
+
+
+#: Rules up to which the look-up is an expression; with more the plan would hold them all, so it is an Arrow function.
+EXPRESSION_RULES = 200
+
+
 def by_suffix(host: Column, rules: SuffixRules) -> Column:
     """The public suffix of a host and one label more; null if no rule fits or nothing is left of the suffix.
     Exceptions go before the longest rule; "*." takes one label more than its parent."""
+    if len(rules.plain) + len(rules.wild) + len(rules.exceptions) > EXPRESSION_RULES:
+        return _by_lookup(host, rules)
 
     def listed(labels: Column) -> Column:
         n = F.size(labels)
@@ -135,29 +164,29 @@ def by_suffix(host: Column, rules: SuffixRules) -> Column:
 def registered_domain(url: Column | str, rules: SuffixRules | None = None) -> Column:
     """The domain that a crawl stays in. "www." goes wherever it stands in the host; digits alone are an address; the suffix
     list is asked only for hosts like a.bcd.ef, all others give their last two labels."""
-    rules = rules or default_rules()
+    full = host_of(url)
 
-    def of(full: Column) -> Column:
-        host = F.replace(full, F.lit("www."), F.lit(""))
+    def of(x: Column) -> Column:
+        host = F.replace(x["full"], F.lit("www."), F.lit(""))
 
         def named(labels: Column) -> Column:
             n = F.size(labels)
             ask = (n >= 3) & (F.length(F.try_element_at(labels, F.lit(-1))) == 2) & (F.length(F.try_element_at(labels, F.lit(-2))) <= 3)
-            listed = F.replace(by_suffix(full, rules), F.lit("www."), F.lit(""))
+            listed = F.replace(x["listed"], F.lit("www."), F.lit(""))
             return F.when(_all_digits(labels), F.array_join(labels, ".")).when(ask, F.coalesce(listed, _last_two(labels))).when(n >= 2, _last_two(labels)).otherwise(host)
 
         return _let(_labels(host), named)
 
-    return _let(host_of(url), of)
+    return _let(F.struct(full.alias("full"), by_suffix(full, rules or default_rules()).alias("listed")), of)
 
 
 def clean_domain(url: Column | str, rules: SuffixRules | None = None) -> Column:
     """The domain that records are consolidated under: the suffix list first, the last two labels where it has no rule."""
-    rules = rules or default_rules()
+    full = host_of(url)
 
-    def of(full: Column) -> Column:
-        host = F.replace(full, F.lit("www."), F.lit(""))
+    def of(x: Column) -> Column:
+        host = F.replace(x["full"], F.lit("www."), F.lit(""))
         rest = lambda labels: F.when(_all_digits(labels), F.array_join(labels, ".")).when(F.size(labels) >= 2, _last_two(labels)).otherwise(host)
-        return F.coalesce(by_suffix(full, rules), _let(_labels(host), rest))
+        return F.coalesce(x["listed"], _let(_labels(host), rest))
 
-    return _let(host_of(url), of)
+    return _let(F.struct(full.alias("full"), by_suffix(full, rules or default_rules()).alias("listed")), of)

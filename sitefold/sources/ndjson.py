@@ -17,16 +17,14 @@ RECORDS_A_FILE = 1_000_000
 def write_records(records: DataFrame, path: str, run_date: str, append: bool = False) -> None:
     """Extracted records below path/run_date=<run_date>, at most a million in a file; meta entries become keys of their own.
     A second run on a day replaces the first one's, with append it adds."""
-    rows = records
+    rest = [c for c in records.columns if c != "meta"]
+    line = F.to_json(F.struct(*rest))
     if "meta" in records.columns:
-        # one JSON object of the record and one of its meta entries, joined as text
-        rest = [c for c in records.columns if c != "meta"]
-        line = F.to_json(F.struct(*rest))
-        meta = F.to_json("meta")
-        text = F.when(F.col("meta").isNull() | (F.size("meta") == 0), line).otherwise(F.concat(F.expr("substr(meta_json, 1, length(meta_json) - 1)"), F.lit(","), F.expr("substr(line, 2)")))
-        rows = records.select(line.alias("line"), meta.alias("meta_json"), "meta").select(text.alias("value"))
+        # the record's object and that of its meta entries, joined as text
+        both = records.select(line.alias("line"), F.when(F.size("meta") > 0, F.to_json("meta")).alias("more"))
+        rows = both.select(F.when(F.col("more").isNull(), F.col("line")).otherwise(F.expr("concat(substr(line, 1, length(line) - 1), ',', substr(more, 2))")).alias("value"))
     else:
-        rows = records.select(F.to_json(F.struct(*records.columns)).alias("value"))
+        rows = records.select(line.alias("value"))
     rows.write.mode("append" if append else "overwrite").option("maxRecordsPerFile", RECORDS_A_FILE).option("lineSep", "\n").text(f"{path.rstrip('/')}/run_date={run_date}")
 
 
