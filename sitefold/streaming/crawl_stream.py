@@ -32,22 +32,26 @@ def status_counts(stream: DataFrame, window: str = "1 hour", slide: str | None =
     return stream.withWatermark("crawl_ts", delay).groupBy(F.window("crawl_ts", window, slide or window), "status").agg(F.count("*").alias("pages"))
 
 
-def waits(stream: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
-    """domain, wait after each batch of rows (domain, ord, status, retry_after); a domain that is idle for long is forgotten."""
+def waits(stream: DataFrame, idle_ms: int = 3_600_000, delay: str = "1 day") -> DataFrame:
+    """domain, wait after each batch of rows (domain, crawl_ts, ord, status, retry_after). A domain that has been idle for so
+    long by the log's own time is forgotten, so the state stays bounded."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         wait = state.get[0] if state.exists else 0.0
-        rows = pd.concat(list(batches)).sort_values("ord")
+        rows = pd.concat(list(batches)).sort_values(["crawl_ts", "ord"])
         for status, after in zip(rows.status, rows.retry_after):
             wait = wait_step(wait, status, None if pd.isna(after) else float(after))
         state.update((wait,))
-        state.setTimeoutDuration(idle_ms)
+        last = rows.crawl_ts.max()
+        now = 0 if pd.isna(last) else int(last.timestamp() * 1000)
+        state.setTimeoutTimestamp(max(now, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame({"domain": [key[0]], "wait": [wait]})
 
-    return stream.groupBy("domain").applyInPandasWithState(step, "domain string, wait double", "wait double", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    late = stream.withWatermark("crawl_ts", delay)
+    return late.groupBy("domain").applyInPandasWithState(step, "domain string, wait double", "wait double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def wait_step(wait: float, status: str | None, retry_after: float | None) -> float:

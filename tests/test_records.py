@@ -150,7 +150,7 @@ def test_streams(spark, tmp_path):
     assert len(run(W.deduplicated(W.log_stream(spark, src)).select("url", "status"), "append", "dedupe")) == 2
     counts = run(W.status_counts(W.log_stream(spark, src)).selectExpr("status", "pages"), "complete", "counts")
     assert sorted(map(tuple, counts)) == [("200", 2), ("429", 1)]
-    waits = run(W.waits(W.log_stream(spark, src).selectExpr("domain", "crawl_date as ord", "status", "cast(null as double) retry_after")), "update", "waits")
+    waits = run(W.waits(W.log_stream(spark, src).selectExpr("domain", "crawl_ts", "url as ord", "status", "cast(null as double) retry_after")), "update", "waits")
     assert [(r.domain, r.wait) for r in waits] == [("a.nl", 6.0)]
     out = str(tmp_path / "out")
     for k in range(2):
