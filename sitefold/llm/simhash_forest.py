@@ -40,7 +40,7 @@ SEED = 20240607
 MOST_TRIES = 256
 #: Microseconds of a row that is written, sent, sorted and read, and of a comparison; they choose between more tries and
 #: shorter prefixes of the same recall.
-ROW_COST, PAIR_COST = 6.0, 0.02
+ROW_COST, PAIR_COST = 1.5, 0.02
 U64 = np.uint64
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32) * 2 - 1)
 
