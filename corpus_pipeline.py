@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again as the docs of the
 next one. All but the last return the columns of documents. Stage by stage: rows that are toxic go; one row of each
-group of near-duplicates stays; rows are repeated as often as the mix of sources asks (its budget is the smallest one at
-which no row has to go); the texts are packed into sequences of 2,048 tokens.
+group of near-duplicates stays; rows of scarce sources and languages are repeated as often as the mix asks, none goes; the
+texts are packed into sequences of 2,048 tokens.
 """
 
 from __future__ import annotations

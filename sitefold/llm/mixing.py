@@ -3,8 +3,9 @@
 A document belongs to one or more sources (here its source and its language). Documents are aggregated by membership
 pattern; token capacity flows from pattern to source quotas. The first pass over a pattern costs nothing, the r-th
 repetition costs r - 1, a convex cost, so that repetition is spread as evenly as the quotas allow; no pattern is used
-more than MOST_PASSES times. Without a token budget the smallest one is taken at which the flow can use every document
-once, so that clean documents aren't lost; with a smaller budget documents are dropped.
+more than MOST_PASSES times. Without a token budget EPOCHS times the corpus's tokens are asked for, or the smallest budget at
+which the flow can use every document once if that is more: clean documents aren't lost, and documents of scarce sources
+are repeated. With a smaller budget documents are dropped.
 
 The flow gives each pattern whole passes and a rest; the rest is filled with documents in the order of a seeded hash up
 to the nearest document. The order is found in two steps (a histogram of the hash, then the one bucket that holds the
@@ -28,6 +29,7 @@ from .tokenizer import VOCABULARY
 
 ALPHA = 0.8
 MOST_PASSES = 4
+EPOCHS = 1.5
 SEED = 17
 BUCKETS = 1024
 #: Membership patterns above which the plan is refused: the flow is solved on the driver.
@@ -192,7 +194,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int |
     if not patterns:
         return docs.withColumn(copies, F.lit(1)), Plan(0, {}, [], {})
     w = target_weights(patterns, alpha) if weights is None else {x: Fraction(v).limit_denominator(10**9) / sum(Fraction(u).limit_denominator(10**9) for u in weights.values()) for x, v in weights.items()}
-    plan = solve(patterns, w, budget if budget is not None else least_budget(patterns, w), passes)
+    if budget is None:
+        budget = max(least_budget(patterns, w), int(EPOCHS * sum(n for _, n in patterns)))
+    plan = solve(patterns, w, budget, passes)
     spark = docs.sparkSession
     whole = [u // n for u, (_, n) in zip(plan.used, patterns)]
     rest = [u - k * n for u, k, (_, n) in zip(plan.used, whole, patterns)]
