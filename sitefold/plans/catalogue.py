@@ -18,6 +18,7 @@ from ..operators import crawl as B
 from ..operators import extract as E
 from ..operators import links as L
 from ..operators import overview as O
+from ..streaming import crawl_stream as W
 from . import derived as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -483,6 +484,48 @@ def q_crawl_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.crawl_log(spark, sf_dir).groupBy("session_date", "status").agg(F.count("*").alias("n"), F.countDistinct("url").alias("urls"))
 
 
+# --- streams
+
+
+def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    # a pattern, as streams take no single file for a path
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
+def _finished(stream: DataFrame, mode: str) -> DataFrame:
+    """What a stream gives once all that is there has been read, from a table in the shared folder."""
+    from ..sources.archive import new_folder
+
+    spark = stream.sparkSession
+    out, state = new_folder(spark, "stream"), new_folder(spark, "stream-state")
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@_query(f"WITH {T.LOG} SELECT date_trunc('hour', CAST(crawl_date AS TIMESTAMP)) AS hour, status, count(*) AS pages FROM ov GROUP BY ALL")
+def q_stream_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = T.log_of(_events_stream(spark, sf_dir)).withColumn("crawl_ts", F.try_to_timestamp("crawl_date", F.lit("yyyy-MM-dd HH:mm:ss")))
+    return _finished(W.status_counts(log), "complete").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "status", "pages")
+
+
+@_query(f"WITH {T.LOG} SELECT DISTINCT domain, url, session_date, status FROM ov")
+def q_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = T.log_of(_events_stream(spark, sf_dir)).withColumn("crawl_ts", F.try_to_timestamp("crawl_date", F.lit("yyyy-MM-dd HH:mm:ss")))
+    return _finished(W.deduplicated(log), "append").select("domain", "url", "session_date", "status")
+
+
+@_query(_SQL["q_backoff"].replace("SELECT user_id, CAST(n AS BIGINT) AS attempts, round(wait, 6) AS wait FROM r", "SELECT CAST(user_id AS VARCHAR) AS domain, round(wait, 6) AS wait FROM r"))
+def q_stream_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, k = T.log_of(_events_stream(spark, sf_dir), "user_id"), F.col("ord")
+    rows = e.select(F.col("user_id").cast("string").alias("domain"), F.timestamp_seconds(k).alias("crawl_ts"), "ord", F.when(k % 5 == 0, "429").when(k % 7 == 0, "403").otherwise(F.col("status")).alias("status"), F.when(k % 10 == 0, 7.0).alias("retry_after"))
+    return _finished(W.waits(rows), "update").select("domain", F.round("wait", 6).alias("wait"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -12,13 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a crawl log."""
-    e = table(spark, sf_dir, "events")
+    return log_of(table(spark, sf_dir, "events"))
+
+
+def log_of(e: DataFrame, *more: str) -> DataFrame:
+    """The log of a table or stream of events, with more of its columns."""
     kind = F.col("event_type")
     status = F.when(kind.isin("view", "click"), "200").when(kind == "error", "500").when(kind == "signup", "Request timeout").when(kind == "purchase", "DNS lookup failed").otherwise("403")
     return e.select(
         F.lit("example.com").alias("domain"), F.concat(F.lit("id"), F.col("user_id").cast("string")).alias("identifier"), (F.col("event_id") % 4).cast("int").alias("level"),
         F.concat(F.lit("https://site"), (F.col("user_id") % 40).cast("string"), F.lit(".example.com/p"), (F.col("event_id") % 50).cast("string")).alias("url"),
-        status.alias("status"), F.date_format("ts", "yyyy-MM-dd").alias("session_date"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("crawl_date"), F.col("event_id").alias("ord"),
+        status.alias("status"), F.date_format("ts", "yyyy-MM-dd").alias("session_date"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("crawl_date"), F.col("event_id").alias("ord"), *more,
     )
 
 
