@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sitefold.llm import mixing, packing, simhash_forest, toxicity
-from sitefold.llm.shared import new_path
+from sitefold.llm.shared import new_path, remove
 from sitefold.shipping import ship
 
 
@@ -49,9 +49,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another on the documents in sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)  # nothing reads it any more
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
