@@ -12,7 +12,7 @@ from . import kernel as K
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens that a worker keeps at most; it then starts afresh.
-CACHE = 800_000
+CACHE = 400_000
 
 
 def encoding(vocabulary: str):
@@ -82,7 +82,7 @@ class Encoder:
             if not len(s):
                 out += [np.zeros(0, np.uint32)] * (end - first)
                 continue
-            if len(known) > CACHE // 2:
+            if len(known) > CACHE:
                 known.clear()
             u, i, back = np.unique(K.span_hashes(cps, s, e), return_index=True, return_inverse=True)
             parts = []
