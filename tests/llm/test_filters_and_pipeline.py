@@ -181,6 +181,43 @@ def test_toxicity_edge_cases(spark):
     assert T.flag_toxic(df.limit(0), lab).count() == 0
 
 
+def test_rare_toxic_words_and_model_in_pieces(spark, monkeypatch):
+    r = random.Random(4)
+    plain = [prose(r, 40) for _ in range(70)]
+    # two toxic words in 4 labelled documents each: too few for any test of significance
+    toxic = [prose(r, 30) + " vile" for _ in range(4)] + [prose(r, 30) + " gross" for _ in range(4)]
+    new = [prose(r, 30) + " vile gross", prose(r, 30)]
+    rows = [(i, t) for i, t in enumerate(plain + toxic + new)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i >= len(plain))) for i in range(len(rows) - 2)], "doc_id long, toxic int")
+    model = T.fit(df, lab)
+    one = dict(zip(model.words.tolist(), model.word_ratio))
+    assert all(one[int(x)] > 1 for x in T.K.word_hash(["vile", "gross"])) and len(model.pairs) > len(model.words)
+    got = {x.doc_id: x.toxicity for x in T.score(df, model).collect()}
+    assert got[len(rows) - 2] > got[len(rows) - 1]
+    monkeypatch.setattr(T, "MODEL_LIMIT", 10)
+    monkeypatch.setattr(T, "PIECE", 300)
+    large = T.fit(df, lab)
+    assert large.stores[1] > 3 and large.threshold == pytest.approx(model.threshold)
+    assert {x.doc_id: x.toxicity for x in T.score(df, large).collect()} == pytest.approx(got, abs=1e-6)
+
+
+def test_toxic_phrase_of_ordinary_words(spark):
+    r = random.Random(6)
+    rows, labels = [], []
+    for i in range(400):
+        words = prose(r, 40).split()
+        toxic = i % 8 == 0
+        for x in ["salt", "road"] if not toxic else ["salt road"]:
+            words.insert(r.randrange(len(words)), x)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    model = T.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    h = T.K.word_hash(["salt", "road"])
+    two, one = dict(zip(model.pairs.tolist(), model.pair_ratio)), dict(zip(model.words.tolist(), model.word_ratio))
+    assert two[int(T._pair(h[:1], h[1:])[0])] > 2 and abs(one[int(h[0])]) < 1
+
+
 def test_threshold_is_best():
     y, s = np.array([1, 1, 0, 1, 0, 0]), np.array([5.0, 4.0, 3.0, 3.0, 0.0, -1.0])
     assert T.best_threshold(s, y) == 1.5 and T.best_threshold(s[:0], y[:0]) == np.inf and T.best_threshold(s, y * 0) == np.inf
