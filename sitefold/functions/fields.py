@@ -23,10 +23,11 @@ FAX = f"(?is){EDGE}f(?:ax(?:number)?)?{EDGE}[^+0-9]{{0,12}}(\\+?[0-9][-()\\s0-9]
 KVK = f"(?is)k\\.?v\\.?k.{{0,40}}?({EDGE}[0-9]{{8}}{EDGE})|kamer van koophandel.{{0,50}}?({EDGE}[0-9]{{8}}{EDGE})"
 VAT = f"(?is)(btw|vat)(.{{1,20}})({EDGE}NL\\s*[-._0-9]{{9,12}}\\s*[ .0-9B]{{0,5}}|{EDGE}NL{EDGE}[-._0-9B]+)"
 
+# The word lists below are data that results depend on: existing corpora were made with just these.
 UNLIKELY_ENDINGS = ("SA", "SD", "SS")
 FILE_ENDINGS = ("avi", "doc", "docx", "gif", "jpeg", "jpg", "mov", "mp3", "mp4", "pdf", "png", "psd", "rtf", "tif", "tiff", "txt", "wav", "xls", "xlsx", "zip")
 REPORT = "(?i)" + "|".join(sorted(["jaarrapport", "annual.?report", "jaar.?verslag", "jaarrekening", "investor", "financial.?results", "investeerder", "financiele.?rapportage", "boekhouding.?rapport", "financial.?performance"]))
-NO_REPORT = "(?i)" + "|".join(sorted(["app", "test", "slim", "zoek", "CO2", "ZZP", "experience", "mailto", "studeren", "vertalen", "diensten", "freelancers", "asbestos", "privacy", "medewerker", "wat.?is", "website", "nieuwsbrief", "coronavirus", "opstellen", "algemene.?voorwaarden"]))
+NO_REPORT = "(?i)" + "|".join(sorted(["app", "test", "slim", "zoek", "CO2", "ZZP", "experience", "mailto", "studeren", "vertalen", "diensten", "freelancers", "asbestos", "privacy", "medewerker", "wat.?is", "website", "nieuwsbrief", "coronavirus", "opstellen", "algemene.?voorwaarden", "webshopp"]))
 META_NAMES = frozenset(
     "author description encoding format-detection generator google-site-verification keywords robots theme-color viewport "
     "article:modified_time article:publisher msapplication-TileColor msapplication-TileImage "

@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 
 from .fields import META_NAMES
 
-_SILENT = {"script", "style", "template"}
+_SILENT = {"script", "style"}
 
 
 @dataclass
@@ -36,19 +36,22 @@ class _Reader(HTMLParser):
     def __init__(self, page: Page):
         super().__init__(convert_charrefs=True)
         self.page, self.silent, self.run = page, 0, []
+        self.templates, self.held = 0, []  # text inside of open templates
 
     def cut(self) -> None:
         """Ends a text node; white space at its ends goes, empty ones too."""
         text = "".join(self.run).strip()
         self.run.clear()
         if text:
-            self.page.pieces.append(text)
+            (self.held if self.templates else self.page.pieces).append(text)
 
     def handle_starttag(self, tag, attrs):
         self.cut()
         at = dict(reversed(attrs))  # of an attribute given twice the first counts
         if tag in _SILENT:
             self.silent += 1
+        elif tag == "template":
+            self.templates += 1
         elif tag == "a" and at.get("href") is not None:
             self.page.hrefs.append(at["href"])
         elif tag == "meta":
@@ -61,13 +64,16 @@ class _Reader(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag in _SILENT:
-            self.silent -= 1
+        self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         self.cut()
         if tag in _SILENT and self.silent:
             self.silent -= 1
+        elif tag == "template" and self.templates:
+            self.templates -= 1
+            if not self.templates:
+                self.held.clear()
 
     def handle_data(self, data):
         if not self.silent:
@@ -82,6 +88,17 @@ class _Reader(HTMLParser):
     def handle_pi(self, data):
         self.cut()
 
+    def parse_marked_section(self, i, report=1):
+        """<![...> of any kind ends at the next ">", as in browsers; the standard library raises on unknown ones."""
+        self.cut()
+        return self.rawdata.find(">", i + 3) + 1 or -1
+
+    def finish(self) -> None:
+        """Ends the page. A template that is never closed hides nothing."""
+        self.close()
+        self.cut()
+        self.page.pieces += self.held
+
 
 def parse(html: str | bytes | None, url: str | None = None) -> Page:
     """A page's parts. Bytes are read as UTF-8, what isn't is left out."""
@@ -89,6 +106,5 @@ def parse(html: str | bytes | None, url: str | None = None) -> Page:
     page = Page(url, source)
     reader = _Reader(page)
     reader.feed(source)
-    reader.close()
-    reader.cut()
+    reader.finish()
     return page

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.domains import SuffixRules, clean_domain
+from ..shared import cut
 
 FIELDS = ("phone", "email", "fax", "zipcode", "address", "kvk", "btw")
 
@@ -20,7 +21,7 @@ def field_counts(pages: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFram
     shuffle for all fields; partial counts are made before it."""
     there = [f for f in fields if f in pages.columns]
     named = lambda f: F.transform(F.coalesce(F.col(f), F.array().cast("array<string>")), lambda v: F.struct(F.lit(f).alias("field"), v.alias("value")))
-    pairs = F.flatten(F.array(*map(named, there)))
+    pairs = F.flatten(F.array(*map(named, there))) if there else F.array().cast("array<struct<field:string,value:string>>")
     return pages.select("domain", F.explode(pairs).alias("p")).groupBy("domain", F.col("p.field").alias("field"), F.col("p.value").alias("value")).agg(F.count("*").alias("count"))
 
 
@@ -44,11 +45,13 @@ def texts(pages: DataFrame, chunk_size: int | None = None) -> DataFrame:
 
 
 def _numbered(pages: DataFrame) -> DataFrame:
-    """pages with _no, from 1 in the order of ord: ranges of ord are ranked in parallel and shifted by the sizes before them."""
-    ranged = pages.repartitionByRange("ord").withColumn("_part", F.spark_partition_id())
-    inner = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("ord")))
-    sizes = inner.groupBy("_part").count()
+    """pages with _no, from 1 in the order of ord: ranges of ord are ranked in parallel and shifted by the sizes before them.
+    The ranges are written once with their numbers. Read from two plans, each would be cut into other ranges, as adaptive
+    execution joins small partitions by the columns that a plan reads."""
+    ranged = cut(pages.repartitionByRange("ord").withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").count()
     before = sizes.select(F.col("_part").alias("_p"), (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))  # one row a partition
+    inner = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("ord")))
     return inner.join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn("_no", F.col("_before") + F.col("_rank")).drop("_part", "_p", "_before", "_rank")
 
 

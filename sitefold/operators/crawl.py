@@ -15,6 +15,7 @@ from ..functions.domains import SuffixRules, host_of, registered_domain
 from ..functions.robots import allowed as robots_allowed
 from ..functions.rules import Rules, classify_url, load_rules
 from ..functions.urls import authority, clean_url, path, query, with_scheme
+from ..shared import cut
 from . import links as L
 
 
@@ -49,16 +50,6 @@ def in_memory_seeds(spark: SparkSession, seeds: list) -> DataFrame:
     return df.select("ord", url.alias("url"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("i")).where("url is not null").select("ord", "url", F.when(F.trim(F.coalesce("i", F.lit(""))) == "", registered_domain("url")).otherwise(F.col("i")).alias("identifier"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A level's rows, written to the checkpoint folder: plans don't grow with the levels and survive lost executors."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sitefold-"))
-    return df.checkpoint()
-
-
 def budgeted(frontier: DataFrame, used: DataFrame, max_pages: int) -> DataFrame:
     """The frontier's first rows by rank, as many as the seeds' budgets leave: max_pages - used + 1 if used is below max_pages."""
     quota = F.when(F.coalesce("used", F.lit(0)) < max_pages, max_pages - F.coalesce("used", F.lit(0)) + 1).otherwise(0)
@@ -78,7 +69,7 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_level: int = 3, max_pages: int |
         if max_pages is not None:
             used = seeds.select("seed", F.lit(0).cast("long").alias("used")).distinct() if out is None else out.groupBy("seed").agg(F.count("*").alias("used"))
             frontier = budgeted(frontier, used, max_pages)
-        frontier = _cut(frontier)
+        frontier = cut(frontier)
         out = frontier if out is None else out.unionByName(frontier)
         keys = frontier.select("seed", clean_url("url").alias("key"))
         seen = keys if seen is None else seen.unionByName(keys)
@@ -113,7 +104,7 @@ def crawl(seeds: DataFrame, store: DataFrame, today: str, config: CrawlConfig |
             asked = frontier.withColumns({"host": authority("url"), "target": F.concat(F.when(path("url") == "", "/").otherwise(path("url")), F.when(query("url") != "", F.concat(F.lit("?"), query("url"))).otherwise(""))})
             frontier = robots_allowed(asked, robots).where("allowed").drop("host", "target", "allowed")
         used = start.select("seed", F.lit(0).cast("long").alias("used")) if out is None else out.groupBy("seed").agg(F.count("*").alias("used"))
-        visited = _cut(budgeted(frontier, used, c.max_pages).withColumn("followed", classify_url("url", "level", c.rules)))
+        visited = cut(budgeted(frontier, used, c.max_pages).withColumn("followed", classify_url("url", "level", c.rules)))
         out = visited if out is None else out.unionByName(visited)
         keys = visited.select("seed", clean_url("url").alias("key"))
         seen = keys if seen is None else seen.unionByName(keys)

@@ -12,17 +12,25 @@ from ..functions.urls import resolve_link, strip_query_and_fragment
 
 
 def hrefs(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """src_url, pos, href of every anchor, in document order."""
+    """src_url, pos, href of every anchor, in document order. A page that can't be read has none; the others go on."""
+
+    def of(u, h):
+        try:
+            return parse(h, u).hrefs
+        except Exception:  # one bad page mustn't end the job
+            return []
 
     def run(batches):
         for b in batches:
-            src, pos, href = [], [], []
-            for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = parse(h, u).hrefs
-                src += [u] * len(found)
-                pos += range(len(found))
-                href += found
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(pos, pa.int32()), pa.array(href, pa.string())], names=["src_url", "pos", "href"])
+            for a in range(0, max(b.num_rows, 1), 512):
+                part = b.slice(a, 512)
+                src, pos, href = [], [], []
+                for u, h in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    found = of(u, h)
+                    src += [u] * len(found)
+                    pos += range(len(found))
+                    href += found
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(pos, pa.int32()), pa.array(href, pa.string())], names=["src_url", "pos", "href"])
 
     return pages.select(url, html).mapInArrow(run, "src_url string, pos int, href string")
 

@@ -18,6 +18,7 @@ from ..operators import crawl as B
 from ..operators import extract as E
 from ..operators import links as L
 from ..operators import overview as O
+from ..shared import new_path
 from ..streaming import crawl_stream as W
 from . import derived as T
 
@@ -473,7 +474,7 @@ def q_zip_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import archive
 
     pages = T.table(spark, sf_dir, "pages").withColumn("member", F.concat(F.col("page_id").cast("string"), F.lit("/index")))
-    path = archive.new_folder(spark, "pages")
+    path = new_path(spark, "pages")
     archive.write_archives(pages.select(F.regexp_replace(U.authority("url"), r"www\.", "").alias("zip_name"), "member", F.col("html").cast("binary").alias("content")), path)
     back = archive.read_archives(spark, path)
     return back.select(F.split("member", "/")[0].cast("long").alias("page_id"), F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("digest"))
@@ -495,10 +496,9 @@ def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _finished(stream: DataFrame, mode: str) -> DataFrame:
     """What a stream gives once all that is there has been read, from a table in the shared folder."""
-    from ..sources.archive import new_folder
 
     spark = stream.sparkSession
-    out, state = new_folder(spark, "stream"), new_folder(spark, "stream-state")
+    out, state = new_path(spark, "stream"), new_path(spark, "stream-state")
 
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)

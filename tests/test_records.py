@@ -23,6 +23,22 @@ def test_parsing():
     assert parse(b"caf\xc3\xa9\xff").raw_text == "café" and parse(b"caf\xc3\xa9").text == "café" and parse(None).text == ""
 
 
+def test_odd_markup_is_read():
+    assert parse("a<![foo[x]]>b<![if !IE]>c<![endif]>d<a href=/q>e").pieces == ["a", "b", "c", "d", "e"]
+    p = parse("<p>one<template><p>two<a href=/x>three<p>four")
+    assert p.pieces == ["one", "two", "three", "four"] and p.hrefs == ["/x"]
+    assert parse("one<template>two<template>three</template>four</template>five").pieces == ["one", "five"]
+    for text in ("x<![", "x<!-", "<!doctype [<!ELEMENT", "</>", "<a href", "&#xffffffff;", "<\0>"):
+        parse(text)
+
+
+def test_one_bad_page_ends_no_job(spark):
+    from sitefold.operators import links as L
+
+    rows = spark.createDataFrame([("https://a.nl", "<![foo[x]]><a href=/y>z</a>"), ("https://b.nl", None), (None, "<a href=q>")], "url string, html string")
+    assert sorted((r.src_url or "", r.href) for r in L.hrefs(rows).collect()) == [("", "q"), ("https://a.nl", "/y")]
+
+
 def one(spark, text, column):
     return spark.createDataFrame([(text,)], "t string").select(column).first()[0]
 
@@ -44,7 +60,7 @@ def test_contact_fields(spark):
     assert one(spark, "Fax: +31 20 1234567 faxnumber 020-7654321", X.faxes("t")) == ["+31 20 1234567", "020-7654321"]
     assert one(spark, "KvK 12345678, K.v.K. nr 87654321; Kamer van Koophandel onder 11112222. kvk 123456789", X.kvk_numbers("t")) == ["12345678", "87654321", "11112222"]
     assert one(spark, "BTW nr: NL123456789B01", X.vat_numbers("t")) == ["NL123456789B01"]
-    links = spark.createDataFrame([(["/annual-report.pdf", "http://x.nl/jaarverslag", "/annual-report?privacy", "x"], "https://a.nl/b/c")], "h array<string>, u string")
+    links = spark.createDataFrame([(["/annual-report.pdf", "http://x.nl/jaarverslag", "/annual-report?privacy", "/annual-report-webshopp", "x"], "https://a.nl/b/c")], "h array<string>, u string")
     assert links.select(X.report_links("h", "u")).first()[0] == ["https://a.nl/annual-report.pdf", "http://x.nl/jaarverslag"]
 
 
@@ -91,6 +107,29 @@ def test_consolidation(spark, chunk, text):
     assert got["b.nl"].text == " " and got["b.nl"].identifier == "2"
 
 
+def test_chunks_whatever_partitions_are_joined(spark):
+    """Adaptive execution joins the small partitions of a plan without texts otherwise than those of one with them."""
+    n = 5000
+    rows = spark.range(n).select(
+        F.concat(F.lit("a"), (F.col("id") % 3).cast("string"), F.lit(".nl")).alias("domain"), F.col("id").cast("string").alias("identifier"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int") * 20).alias("text"), (F.col("id") * 7 % n).alias("ord")
+    )
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+        numbered = C._numbered(rows)
+        assert sorted(r[0] for r in numbered.select("_no").collect()) == list(range(1, n + 1))
+        assert numbered.where(F.col("_no") != F.col("ord") + 1).count() == 0
+        got = {r.domain: r for r in C.consolidated(rows, fields=(), chunk_size=100).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = {}
+    for i in sorted(range(n), key=lambda i: i * 7 % n):
+        want.setdefault(f"a{i % 3}.nl", {}).setdefault(i * 7 % n // 100, []).append("x" * (i % 50 * 20))
+    assert {d: r.text for d, r in got.items()} == {d: " ".join(" " + " ".join(t) for t in chunks.values()) for d, chunks in want.items()}
+
+
 def test_consolidated_tables_merge(spark):
     a, b = C.consolidated(records(spark, ROWS[:2])), C.consolidated(records(spark, ROWS[2:]))
     got = {r.domain: r for r in C.merged(a, b).collect()}["a.co.uk"]
