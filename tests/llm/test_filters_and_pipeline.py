@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -140,28 +141,102 @@ def test_toxic_documents_are_found_held_out(spark):
     assert sum(got[i].is_toxic for i in out if i not in bad) <= 0.02 * len(out)
 
 
-def brute_score(text, model):
-    words = re.findall(r"[^\W_]+", text.lower())
-    one, two = dict(zip(model.words.tolist(), model.word_ratio)), dict(zip(model.pairs.tolist(), model.pair_ratio))
-    h = T.K.word_hash(words)
-    r = []
-    for k in range(len(words)):
-        x = one.get(int(h[k]), 0.0)
-        if k:
-            x = two.get(int(T._pair(h[k - 1 : k], h[k : k + 1])[0]), x)
-        r.append(x)
-    n = min(T.WINDOW, len(r))
-    return max(sum(r[k : k + n]) / n for k in range(len(r) - n + 1)) if r else 0.0
-
-
-def test_scores_equal_brute_force(spark):
-    rows, labels = labelled_corpus(300)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    model = T.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
-    assert len(model.words) and np.isfinite(model.threshold)
-    got = {r.doc_id: r.toxicity for r in T.score(df, model).collect()}
-    for i, t in rows[::7]:
-        assert got[i] == pytest.approx(brute_score(t, model), abs=1e-6)
+def words_of(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+class Brute:
+    """The same models from dictionaries: P_c(w|u) over P_c(w) over the shared share of w."""
+
+    def __init__(self, rows, labels, part=None, without=0):
+        y = {}
+        for i, c in labels:
+            y[i] = max(c, y.get(i, 0))
+        held = [(t, y[i]) for i, t in rows if i in y]
+        size = [sum(len(words_of(t)) for t, c in held if c == k) for k in (0, 1)]
+        self.scale = [n / min(size) for n in size]
+        self.pairs, self.follow, self.after = ([Counter(), Counter()] for _ in range(3))
+        for t, c in held:
+            if without and part[t] == without - 1:
+                continue
+            w = words_of(t)
+            for u, v in zip([None, *w], w):
+                self.follow[c][v] += self.pairs[c][u, v] == 0
+                self.pairs[c][u, v] += 1
+                self.after[c][u] += 1
+        self.docs = Counter(w for _, t in rows for w in set(words_of(t)))
+
+    def kept(self, c, d):
+        return sum(max(x - d, 0) for x in self.follow[c].values()) / sum(self.follow[c].values())
+
+    def discounts(self, discount):
+        """That of the larger class by which it keeps what the smaller one does, by halving."""
+        small = int(np.argmin(self.scale))
+        high = discount * self.scale[1 - small]
+        low = high * T.NEAR
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if self.kept(1 - small, mid) > self.kept(small, discount) else (low, mid)
+        return (discount, low) if small == 0 else (low, discount)
+
+    def logs(self, text, discount, ratio):
+        """log P_toxic(w|u) - log P_ordinary(w|u) of each word."""
+        w, out, total = words_of(text), [], sum(self.docs.values())
+        for c, d in enumerate(self.discounts(discount)):
+            n = sum(self.follow[c].values())
+            left = 1 - sum(max(x - d, 0) for x in self.follow[c].values()) / n
+            one = lambda v: max(self.follow[c][v] - d, 0) / n + left * self.docs[v] / total  # noqa: B023, E731
+            kept = Counter()
+            for (u, v), x in self.pairs[c].items():
+                kept[u] += max(x - d * ratio, 0)
+            p = []
+            for u, v in zip([None, *w], w):
+                m = self.after[c][u]
+                p.append(one(v) if u is None or not m else max(self.pairs[c][u, v] - d * ratio, 0) / m + (1 - kept[u] / m) * one(v))
+            assert not w or abs(sum(map(one, self.docs)) - 1) < 1e-9
+            out.append(np.log(p))
+        return out[1] - out[0]
+
+
+def brute_mean(r, window):
+    n = min(window or len(r), len(r))
+    return max(sum(r[k : k + n]) / n for k in range(len(r) - n + 1)) if len(r) else 0.0
+
+
+def test_estimates_and_scores_equal_brute_force(spark):
+    rows, labels = labelled_corpus(160)
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    part = {r[0]: r[1] for r in df.selectExpr("text", "pmod(xxhash64(text), 5)").collect()}
+    counts, _, n = T.counted(df.repartition(3), lab)
+    assert n == len(labels)
+    for discount, ratio, without in ((0.75, 2.0, 0), (0.75, np.inf, 0), (1.5, 2.0, 3), (6.0, 16.0, 1)):
+        brute, m = Brute(rows, labels, part, without), T.ratios(counts, discount, ratio, without)
+        for window in (8, 0):
+            m.window = window
+            got = {r.doc_id: r.toxicity for r in T.score(df, m).collect()}
+            for i, t in rows[::9]:
+                assert got[i] == pytest.approx(brute_mean(brute.logs(t, discount, ratio), window), abs=1e-8)
+    model = T.fit(df, lab)
+    assert (model.chosen["discount"], model.chosen["pair_ratio"], model.window) in T.settings(counts.least)
+    got = {r.doc_id: r for r in T.flag_toxic(df, lab).collect()}
+    brute = Brute(rows, labels)
+    for i, t in rows[::9]:
+        s = brute_mean(brute.logs(t, model.chosen["discount"], model.chosen["pair_ratio"]), model.window)
+        assert got[i].toxicity == pytest.approx(s, abs=1e-8) and got[i].is_toxic == (s >= model.threshold)
+
+
+def test_one_hot_word_in_many_tasks(spark, monkeypatch):
+    """Buckets and flushes of any size give the same counts."""
+    rows, labels = labelled_corpus(120)
+    rows = [(i, " ".join(f"the {w}" for w in t.split())) for i, t in rows]
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(labels, "doc_id long, toxic int")
+    want, _, _ = T.counted(df, lab)
+    monkeypatch.setattr(T, "BUCKET", 1000)
+    got, _, _ = T.counted(df.coalesce(1), lab)
+    for a in ("words", "shared", "follow", "sums", "pairs", "pair_counts", "history"):
+        assert np.array_equal(getattr(want, a), getattr(got, a))
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
+    assert np.array_equal(T.unpack(T.pack(keys), 1000), keys)
 
 
 def test_toxicity_edge_cases(spark):
@@ -181,7 +256,7 @@ def test_toxicity_edge_cases(spark):
     assert T.flag_toxic(df.limit(0), lab).count() == 0
 
 
-def test_rare_toxic_words_and_model_in_pieces(spark, monkeypatch):
+def test_rare_toxic_words(spark):
     r = random.Random(4)
     plain = [prose(r, 40) for _ in range(70)]
     # two toxic words in 4 labelled documents each: too few for any test of significance
@@ -190,16 +265,11 @@ def test_rare_toxic_words_and_model_in_pieces(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(plain + toxic + new)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     lab = spark.createDataFrame([(i, int(i >= len(plain))) for i in range(len(rows) - 2)], "doc_id long, toxic int")
-    model = T.fit(df, lab)
-    one = dict(zip(model.words.tolist(), model.word_ratio))
-    assert all(one[int(x)] > 1 for x in T.K.word_hash(["vile", "gross"])) and len(model.pairs) > len(model.words)
-    got = {x.doc_id: x.toxicity for x in T.score(df, model).collect()}
+    counts, _, _ = T.counted(df, lab)
+    one = dict(zip(counts.words.tolist(), T.ratios(counts, T.LEAST, 2.0).word_ratio))
+    assert all(one[int(x)] > 1 for x in T.K.word_hash(["vile", "gross"]))
+    got = {x.doc_id: x.toxicity for x in T.score(df, T.fit(df, lab)).collect()}
     assert got[len(rows) - 2] > got[len(rows) - 1]
-    monkeypatch.setattr(T, "MODEL_LIMIT", 10)
-    monkeypatch.setattr(T, "PIECE", 300)
-    large = T.fit(df, lab)
-    assert large.stores[1] > 3 and large.threshold == pytest.approx(model.threshold)
-    assert {x.doc_id: x.toxicity for x in T.score(df, large).collect()} == pytest.approx(got, abs=1e-6)
 
 
 def test_toxic_phrase_of_ordinary_words(spark):
@@ -212,15 +282,17 @@ def test_toxic_phrase_of_ordinary_words(spark):
             words.insert(r.randrange(len(words)), x)
         rows.append((i, " ".join(words)))
         labels.append((i, int(toxic)))
-    model = T.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
-    h = T.K.word_hash(["salt", "road"])
-    two, one = dict(zip(model.pairs.tolist(), model.pair_ratio)), dict(zip(model.words.tolist(), model.word_ratio))
-    assert two[int(T._pair(h[:1], h[1:])[0])] > 2 and abs(one[int(h[0])]) < 1
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = T.fit(df, lab)
+    at = np.searchsorted(model.words, T.K.word_hash(["salt", "road"])).tolist()
+    pair = np.searchsorted(model.pairs, at[0] << 32 | at[1])
+    assert np.isfinite(model.chosen["pair_ratio"]) and model.pair_ratio[pair] > 2 and abs(model.word_ratio[at[0]]) < 1
+    assert sum(r.is_toxic == (r.doc_id % 8 == 0) for r in T.flag_toxic(df, lab).collect()) >= 0.97 * len(rows)
 
 
 def test_threshold_is_best():
     y, s = np.array([1, 1, 0, 1, 0, 0]), np.array([5.0, 4.0, 3.0, 3.0, 0.0, -1.0])
-    assert T.best_threshold(s, y) == 1.5 and T.best_threshold(s[:0], y[:0]) == np.inf and T.best_threshold(s, y * 0) == np.inf
+    assert T.best_threshold(s, y) == (1.5, 6 / 7) and T.best_threshold(s[:0], y[:0])[0] == T.best_threshold(s, y * 0)[0] == np.inf
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
@@ -235,7 +307,8 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     # the same, document by document
     model = T.fit(table, spark.read.parquet(str(tmp_path / "labels.parquet")))
-    clean = [d for d in docs if not (d[1] and brute_score(d[1], model) >= model.threshold)]
+    brute = Brute([(d[0], d[1]) for d in docs], [(i, y) for i, _, y in lab])
+    clean = [d for d in docs if not (words_of(d[1]) and brute_mean(brute.logs(d[1], model.chosen["discount"], model.chosen["pair_ratio"]), model.window) >= model.threshold)]
     named = [d for d in clean if d[1] is not None]
     roots = brute_groups([d[1] for d in named])
     kept = {min(named[k][0] for k in range(len(named)) if roots[k] == r) for r in set(roots)} | {20_000}
