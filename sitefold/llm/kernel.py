@@ -24,14 +24,10 @@ U64 = np.uint64
 @functools.cache
 def classes() -> np.ndarray:
     """The class of each code point."""
+    kind = np.array(list(map(unicodedata.category, map(chr, range(0x110000)))), "U2").view(np.uint32).reshape(-1, 2)[:, 0]
     table = np.zeros(0x110000, np.uint8)
-    cat = unicodedata.category
-    for c in range(0x110000):
-        k = cat(chr(c))[0]
-        if k == "L":
-            table[c] = LETTER
-        elif k == "N":
-            table[c] = NUMBER
+    table[kind == ord("L")] = LETTER
+    table[kind == ord("N")] = NUMBER
     table[_WHITE] = SPACE
     return table
 
@@ -140,7 +136,8 @@ def pretoken_spans(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 def span_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's characters, the same wherever it stands."""
+    """A 64-bit hash of each span's characters, the same wherever it stands. It is a polynomial modulo 2**64, which some long
+    words of two letters share (Thue and Morse's): what must be right whatever the text says compares the characters too."""
     up, down = _power(len(cps) + 1)
     total = np.zeros(len(cps) + 1, U64)
     np.cumsum((cps.astype(U64) + U64(1)) * up[: len(cps)], out=total[1:])
@@ -148,13 +145,33 @@ def span_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(h ^ (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def distinct_spans(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For spans that fill cps one after another: the first span of each distinct text, and which of these each span is."""
+    _, first, back = np.unique(span_hashes(cps, starts, ends), return_index=True, return_inverse=True)
+    size = ends - starts
+    model = starts[first[back]]
+    same = size == size[first[back]]
+    if same.all():
+        same_chars = cps[np.arange(len(cps)) + np.repeat(model - starts, size)] == cps
+        if same_chars.all():
+            return first, back
+    # some hashes are alike: texts tell the spans apart
+    seen: dict[str, int] = {}
+    back = np.array([seen.setdefault(text_of(cps, s, e), len(seen)) for s, e in zip(starts.tolist(), ends.tolist())], np.int64)
+    _, first = np.unique(back, return_index=True)
+    return first, back
+
+
+def texts_of(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    whole = text_of(cps, 0, len(cps))
+    return [whole[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
+
+
 def word_hash(words: list[str]) -> np.ndarray:
     """The hash that span_hashes gives for each word; the words are in lower case already."""
-    out = np.zeros(len(words), U64)
-    for k, w in enumerate(words):
-        cps = np.frombuffer(w.encode("utf-32-le"), np.uint32)
-        out[k] = span_hashes(cps, np.array([0]), np.array([len(cps)]))[0]
-    return out
+    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+    cps = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    return span_hashes(cps, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if words else np.zeros(0, U64)
 
 
 def text_of(cps: np.ndarray, start: int, end: int) -> str:

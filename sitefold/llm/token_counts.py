@@ -1,9 +1,11 @@
 """Token counts: a broadcast table of frequent pre-token lengths, and worker caches for the rest.
 
-The table is a compact pair of arrays (sorted 64-bit hashes, lengths), made from a bounded sample of rows; it only
-saves work, the counts are exact with any table. Nothing is shuffled by pre-token.
+The table is a hash table from pre-token to its length in tokens, of at most TABLE_SIZE entries. It is made from the first
+TABLE_ROWS rows of every partition of the input, so no second pass over the corpus is needed. It only saves work: misses are encoded once in each worker, and both tiers compare the pre-token itself, so counts
+are exact with any table. Nothing is shuffled by pre-token.
 
-Defined results: a null text has a null count, an empty one 0; repeated rows are counted each; an empty table gives an
+Defined results: a null text has a null count, an empty one 0; repeated rows are counted each; very long texts are counted
+whole; of equally frequent pre-tokens the first in order is in the table, which changes no count; an empty table gives an
 empty table with the same columns; a column of the input that has the output's name is kept and the new one gets an
 underscore in front.
 """
@@ -22,43 +24,36 @@ from . import kernel as K
 from .shared import free_name
 from .tokenizer import VOCABULARY, Encoder
 
-#: Rows whose pre-tokens are counted for the table, and entries of the table (12 bytes each).
-TABLE_ROWS, TABLE_SIZE = 2_000, 65_536
+#: Rows of a partition whose pre-tokens are counted for the table, its entries, those that a task sends, and their characters.
+TABLE_ROWS, TABLE_SIZE, TASK_SIZE, TABLE_WORD = 64, 65_536, 8_192, 64
 
 
-def frequent_table(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, rows: int = TABLE_ROWS, size: int = TABLE_SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and token lengths of the most frequent pre-tokens in about `rows` rows taken from all over df.
-
-    Each task sends its own most frequent pre-tokens; at most a few million short strings reach the driver, however
-    large df is, because the number of sampled rows is fixed."""
-    total = df.count()
-    part = df.select(text) if total <= rows else df.select(text).sample(rows / total, seed=11)
-
+def frequent_table(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, rows: int = TABLE_ROWS, size: int = TABLE_SIZE) -> dict[str, int]:
+    """Token lengths of the pre-tokens that come twice or more in the first rows of every partition; the most frequent ones."""
     def count(batches):
         seen: Counter = Counter()
+        left = rows
         for b in batches:
-            for _, _, cps, offsets in (x for _, t in K.slices(b.column(0), lower=False) for x in K.blocks(t)):
+            texts = b.column(0).slice(0, left).to_pylist()
+            for _, _, cps, offsets in K.blocks(texts):
                 s, e, _ = K.pretoken_spans(cps, offsets)
-                h = K.span_hashes(cps, s, e)
-                _, i, n = np.unique(h, return_index=True, return_counts=True)
-                for k, m in zip(i, n):
-                    if e[k] - s[k] <= 64:
-                        seen[K.text_of(cps, s[k], e[k])] += int(m)
-        top = seen.most_common(size)
+                if len(s):
+                    i, back = K.distinct_spans(cps, s, e)
+                    for t, n in zip(K.texts_of(cps, s[i], e[i]), np.bincount(back).tolist()):
+                        if len(t) <= TABLE_WORD:
+                            seen[t] += n
+            left -= len(texts)
+            if left <= 0:
+                break  # the rest of the partition isn't read
+        top = seen.most_common(TASK_SIZE)
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["p", "n"])
 
-    totals: Counter = Counter()
-    for r in part.mapInArrow(count, "p string, n long").toLocalIterator():
-        totals[r[0]] += r[1]
-    best = sorted(totals.items(), key=lambda x: (-x[1], x[0]))[:size]
-    keys = K.word_hash([p for p, _ in best])
+    found = df.select(text).mapInArrow(count, "p string, n long").groupBy("p").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "p").limit(size).toPandas()
     enc = Encoder.get(vocabulary).enc
-    lengths = np.array([len(enc.encode_ordinary(p)) for p, _ in best], np.int32)
-    order = np.argsort(keys)
-    return keys[order], lengths[order]
+    return dict(zip(found.p, map(len, enc.encode_ordinary_batch(found.p.tolist(), num_threads=1))))
 
 
-def with_token_counts(df: DataFrame, text: str = "text", out: str = "n_tokens", vocabulary: str = VOCABULARY, keep: list[str] | None = None, table: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+def with_token_counts(df: DataFrame, text: str = "text", out: str = "n_tokens", vocabulary: str = VOCABULARY, keep: list[str] | None = None, table: dict[str, int] | None = None) -> DataFrame:
     """df's columns (or those in keep), and the number of tokens of each text."""
     spark = df.sparkSession
     table = frequent_table(df, text, vocabulary) if table is None else table
@@ -69,10 +64,10 @@ def with_token_counts(df: DataFrame, text: str = "text", out: str = "n_tokens",
 
     def count(batches):
         encoder = Encoder.get(vocabulary)
-        keys, sizes = sent.value
+        known = sent.value
         for b in batches:
             texts = b.column(b.num_columns - 1)
-            n = np.concatenate([np.zeros(0, np.int64), *(encoder.counts(t, keys, sizes) for _, t in K.slices(texts, lower=False))])
+            n = np.concatenate([np.zeros(0, np.int64), *(encoder.counts(t, known) for _, t in K.slices(texts, lower=False))])
             counted = pa.array(n, pa.int64(), mask=np.asarray(texts.is_null()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], counted], names=[*names, name])
 

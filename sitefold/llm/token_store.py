@@ -3,14 +3,16 @@
 A rolling hash over the last WINDOW ids cuts each document's id stream into chunks wherever its low bits are all set, so
 equal passages get equal chunks wherever they stand; no chunk is shorter than LEAST ids (but for a document's last one)
 or longer than MOST. A chunk is named by the BLAKE2b of its bytes and stored once. A document's recipe lists its chunks'
-names; its Merkle root is over them. Chunks move once: each task drops its own repeats, the names alone (not the bytes)
-are shuffled to find repeats between tasks, and the store is written without those.
+names; its Merkle root is over them, its digest over the whole id stream. Chunks move once: each task drops its own repeats,
+the names alone (not the bytes) are shuffled to find repeats between tasks, and the store is written without those.
 
-verify() recomputes every chunk's name from its stored bytes, every root from its recipe, and checks that each name in a
-recipe is there; read_documents() gives the ids back.
+verify() recomputes every chunk's name from its stored bytes, every root from its recipe, and each document's length and
+digest from those of the stored chunks in the recipe's order: the digest is a pair of polynomials modulo primes, so that of
+a stream follows from those of its parts, and no bytes move. read_documents() gives the ids back.
 
 Defined results: null and empty texts have an empty recipe and the root of nothing, a null text has null n_tokens;
-repeated rows have a recipe each and share their chunks; an empty table gives an empty store; other columns don't matter.
+repeated rows have a recipe each and share their chunks; very long texts are cut whole; a doc_id may be of any type; an empty
+table gives an empty store; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernel as K
 from .shared import new_path, remove, small_or_shuffled
@@ -56,6 +59,31 @@ def name_of(payload: bytes) -> bytes:
     return hashlib.blake2b(payload, digest_size=16).digest()
 
 
+PRIMES, BASES = (2147483629, 2147483587), (1000003, 998244353)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def digest(ids: np.ndarray) -> list[int]:
+    """Polynomials of an id stream modulo PRIMES."""
+    out = []
+    for k, (p, b) in enumerate(zip(PRIMES, BASES)):
+        while len(_powers[k]) < len(ids):
+            n = len(_powers[k])
+            _powers[k] = np.concatenate([_powers[k], _powers[k] * np.uint64(pow(b, n, p)) % np.uint64(p)])
+        # the first id has the highest power
+        terms = (ids.astype(np.uint64) + np.uint64(1)) * _powers[k][: len(ids)][::-1] % np.uint64(p)
+        out.append(int(terms.sum() % np.uint64(p)))
+    return out
+
+
+def joined_digest(parts: list[tuple[int, int, int]]) -> list[int]:
+    """The digest of streams one after another, from their lengths and digests."""
+    out = [0, 0]
+    for n, *d in parts:
+        out = [(h * pow(b, n, p) + x) % p for h, x, b, p in zip(out, d, BASES, PRIMES)]
+    return out
+
+
 def merkle_root(names: list[bytes]) -> bytes:
     """Root of a binary hash tree; inner nodes and leaves are told apart by a first byte, an odd node goes up as it is."""
     level = [name_of(b"\0" + x) for x in names] or [name_of(b"\0")]
@@ -64,19 +92,23 @@ def merkle_root(names: list[bytes]) -> bytes:
     return level[0]
 
 
+def _schema(id_type: T.DataType) -> T.StructType:
+    rest = T.StructType.fromDDL("n_tokens long, digest array<long>, recipe array<binary>, root binary, name binary, payload binary")
+    return T.StructType([T.StructField("kind", T.StringType()), T.StructField("n", T.LongType()), T.StructField("doc_id", id_type), *rest])
+
+
 def build(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Writes path/recipes (n, doc_id, n_tokens, recipe, root) and path/chunks (name, payload)."""
+    """Writes path/recipes (n, doc_id, n_tokens, digest, recipe, root) and path/chunks (name, payload)."""
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("n"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("n"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def chunk(batches):
         encoder, seen = Encoder.get(vocabulary), set()
         kind = np.uint16 if encoder.enc.max_token_value < 1 << 16 else np.uint32
         for b in batches:
-            n, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
-            step = K.SLICE
+            n, step = b.column(0), K.SLICE
             for a, texts in K.slices(b.column(2), lower=False):
-                size, recipe, root, names, payloads = [], [], [], [], []
+                size, sums, recipe, root, names, payloads = [], [], [], [], [], []
                 for t, ids in zip(texts, encoder.encode(texts)):
                     raw, last, mine = ids.astype(kind).tobytes(), 0, []
                     width = kind().itemsize
@@ -90,20 +122,22 @@ def build(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, doc_id: str
                             names.append(x)
                             payloads.append(p)
                     size.append(None if t is None else len(ids))
+                    sums.append(digest(ids))
                     recipe.append(mine)
                     root.append(merkle_root(mine))
                 d, c = len(size), len(names)
                 column = lambda docs_, chunks, t: pa.array([*docs_, *chunks], t)
+                given = lambda x: pa.concat_arrays([x.slice(a, step), pa.nulls(c, x.type)])  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [
-                        column(["recipes"] * d, ["chunks"] * c, pa.string()), column(n[a : a + step], [None] * c, pa.int64()), column(keys[a : a + step], [None] * c, pa.int64()), column(size, [None] * c, pa.int64()),
+                        column(["recipes"] * d, ["chunks"] * c, pa.string()), given(n), given(b.column(1)), column(size, [None] * c, pa.int64()), column(sums, [None] * c, pa.list_(pa.int64())),
                         column(recipe, [None] * c, pa.list_(pa.binary())), column(root, [None] * c, pa.binary()), column([None] * d, names, pa.binary()), column([None] * d, payloads, pa.binary()),
                     ],
-                    names=["kind", "n", "doc_id", "n_tokens", "recipe", "root", "name", "payload"],
+                    names=["kind", "n", "doc_id", "n_tokens", "digest", "recipe", "root", "name", "payload"],
                 )
 
     staged = f"{path}/staged"
-    schema = "kind string, n long, doc_id long, n_tokens long, recipe array<binary>, root binary, name binary, payload binary"
+    schema = _schema(rows.schema["doc_id"].dataType)
     rows.mapInArrow(chunk, schema).write.partitionBy("kind").option("compression", "zstd").parquet(staged)
     every = spark.read.schema(schema).parquet(staged)
     # a chunk's place in the staged files, which are written once and don't change
@@ -115,37 +149,47 @@ def build(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, doc_id: str
     remove(spark, f"{staged}/kind=chunks")
 
 
-def recipes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("kind string, n long, doc_id long, n_tokens long, recipe array<binary>, root binary").parquet(f"{path}/staged").where("kind = 'recipes'").drop("kind")
+def recipes(spark: SparkSession, path: str, id_type: T.DataType | None = None) -> DataFrame:
+    """The recipes of a store whose doc_ids are of that type (long)."""
+    return spark.read.schema(_schema(id_type or T.LongType())).parquet(f"{path}/staged").where("kind = 'recipes'").select("n", "doc_id", "n_tokens", "digest", "recipe", "root")
 
 
-def verify(spark: SparkSession, path: str) -> DataFrame:
+def verify(spark: SparkSession, path: str, vocabulary: str = VOCABULARY, id_type: T.DataType | None = None) -> DataFrame:
     """doc_id, n_tokens, n_chunks, recipe and merkle_root in hex, verified, of every document."""
+    kind = np.uint16 if Encoder.get(vocabulary).enc.max_token_value < 1 << 16 else np.uint32
 
     def right(batches):
         for b in batches:
-            ok = [name_of(p) == x for x, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(p) for p in b.column(1).to_pylist()], pa.int64()), pa.array(ok)], names=["name", "bytes", "ok"])
+            names, payloads = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ids = [np.frombuffer(p, kind) for p in payloads]
+            d = [digest(x) for x in ids]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), *(pa.array([x[k] for x in d], pa.int64()) for k in (0, 1)), pa.array([name_of(p) == x for x, p in zip(names, payloads)])], names=["name", "size", "d0", "d1", "ok"])
 
     def rooted(batches):
         for b in batches:
-            ok = [merkle_root(r) == x for r, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ok)], names=["n", "rooted"])
-
-    docs = recipes(spark, path)
-    store = spark.read.parquet(f"{path}/chunks").mapInArrow(right, "name binary, bytes long, ok boolean")
-    # names are hashes, so 8 bytes of each tell nearly all apart; the rest of the name is compared after the join
-    parts = docs.select("n", F.explode("recipe").alias("name")).join(store, "name", "left")
-    whole = parts.groupBy("n").agg(F.every(F.coalesce("ok", F.lit(False))).alias("there"))
-    rows = docs.join(docs.select("n", "recipe", "root").mapInArrow(rooted, "n long, rooted boolean"), "n").join(whole, "n", "left")
-    good = F.col("rooted") & F.coalesce("there", F.size("recipe") == 0)
+            ok = [merkle_root(r) == x for r, x in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ok, pa.bool_())], names=[*b.schema.names, "rooted"])
+
+    def joined(batches):
+        for b in batches:
+            d = [joined_digest([(x["size"], x["d0"], x["d1"]) for x in p]) for p in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(d, pa.list_(pa.int64()))], names=["n", "there", "size", "joined"])
+
+    docs = recipes(spark, path, id_type)
+    store = spark.read.parquet(f"{path}/chunks").mapInArrow(right, "name binary, size long, d0 long, d1 long, ok boolean")
+    parts = docs.select("n", F.posexplode("recipe").alias("pos", "name")).join(store, "name", "left")
+    lists = parts.groupBy("n").agg(F.array_sort(F.collect_list(F.when(F.col("ok"), F.struct("pos", "size", "d0", "d1")))).alias("p"), F.every(F.coalesce("ok", F.lit(False))).alias("there"), F.sum("size").alias("size"))
+    whole = lists.mapInArrow(joined, "n long, there boolean, size long, joined array<long>").withColumnRenamed("n", "_n")
+    rows = docs.mapInArrow(rooted, T.StructType([*docs.schema, T.StructField("rooted", T.BooleanType())])).join(whole, F.col("n") == F.col("_n"), "left")
+    empty = (F.size("recipe") == 0) & (F.coalesce("n_tokens", F.lit(0)) == 0)
+    good = F.col("rooted") & F.coalesce(F.col("there") & (F.col("size") == F.col("n_tokens")) & (F.col("joined") == F.col("digest")), empty)
     return rows.select("doc_id", "n_tokens", F.size("recipe").alias("n_chunks"), F.transform("recipe", F.hex).alias("recipe"), F.hex("root").alias("merkle_root"), good.alias("verified"))
 
 
-def read_documents(spark: SparkSession, path: str, vocabulary: str = VOCABULARY) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, vocabulary: str = VOCABULARY, id_type: T.DataType | None = None) -> DataFrame:
     """n, doc_id, ids: the token ids put together again from the chunks."""
     kind = np.uint16 if Encoder.get(vocabulary).enc.max_token_value < 1 << 16 else np.uint32
-    docs = recipes(spark, path)
+    docs = recipes(spark, path, id_type)
     parts = docs.select("n", "doc_id", F.posexplode_outer("recipe").alias("pos", "name")).join(spark.read.parquet(f"{path}/chunks"), "name", "left")
     lists = parts.groupBy("n", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "payload"))).alias("p"))
 
@@ -154,11 +198,11 @@ def read_documents(spark: SparkSession, path: str, vocabulary: str = VOCABULARY)
             ids = [np.frombuffer(b"".join(x["payload"] or b"" for x in p), kind).astype(np.int32) for p in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["n", "doc_id", "ids"])
 
-    return lists.mapInArrow(join, "n long, doc_id long, ids array<int>")
+    return lists.mapInArrow(join, T.StructType([*lists.schema.fields[:2], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def store_documents(docs: DataFrame) -> DataFrame:
     """Builds a store in the shared folder and verifies it."""
     path = new_path(docs.sparkSession, "token-store")
     build(docs, path)
-    return verify(docs.sparkSession, path)
+    return verify(docs.sparkSession, path, id_type=docs.schema["doc_id"].dataType)

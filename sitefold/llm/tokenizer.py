@@ -1,4 +1,7 @@
-"""Byte-level BPE over the array kernel: each distinct pre-token is encoded once per worker."""
+"""Byte-level BPE over the array kernel: each distinct pre-token is encoded once per worker.
+
+The vocabulary file is a parameter; executors read it from the same path as the driver.
+"""
 
 from __future__ import annotations
 
@@ -23,14 +26,14 @@ def encoding(vocabulary: str):
 
 
 class Encoder:
-    """Token counts and token ids of texts. table: sorted hashes of frequent pre-tokens and their lengths in tokens."""
+    """Token counts and token ids of texts. Pre-tokens are found by their own characters: hashes only group those of a block."""
 
     _own: dict[str, "Encoder"] = {}
 
     def __init__(self, vocabulary: str):
         self.enc = encoding(vocabulary)
-        self.lengths: dict[int, int] = {}
-        self.ids: dict[int, np.ndarray] = {}
+        self.lengths: dict[str, int] = {}
+        self.ids: dict[str, bytes] = {}
 
     @classmethod
     def get(cls, vocabulary: str) -> "Encoder":
@@ -39,38 +42,26 @@ class Encoder:
             cls._own[vocabulary] = cls(vocabulary)
         return cls._own[vocabulary]
 
-    def _length(self, h: np.ndarray, cps: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        """Lengths of distinct pre-tokens, through the cache."""
-        known, encode = self.lengths, self.enc.encode_ordinary
-        if len(known) > CACHE:
-            known.clear()
-        out = np.empty(len(h), np.int64)
-        for k, x in enumerate(h.tolist()):
-            n = known.get(x)
-            if n is None:
-                n = known[x] = len(encode(K.text_of(cps, s[k], e[k])))
-            out[k] = n
-        return out
-
-    def counts(self, texts: list[str | None], keys: np.ndarray | None = None, sizes: np.ndarray | None = None) -> np.ndarray:
-        """Tokens of each text, 0 for None and empty ones."""
+    def counts(self, texts: list[str | None], table: dict[str, int] | None = None) -> np.ndarray:
+        """Tokens of each text, 0 for None and empty ones. table: lengths of frequent pre-tokens in tokens."""
         out = np.zeros(len(texts), np.int64)
+        known, encode, table = self.lengths, self.enc.encode_ordinary, table or {}
         for first, end, cps, offsets in K.blocks(texts):
             s, e, doc = K.pretoken_spans(cps, offsets)
             if not len(s):
                 continue
-            h = K.span_hashes(cps, s, e)
-            n = np.zeros(len(h), np.int64)
-            miss = np.arange(len(h))
-            if keys is not None and len(keys):
-                at = K.lookup(keys, h)
-                hit = at >= 0
-                n[hit] = sizes[at[hit]]
-                miss = np.flatnonzero(~hit)
-            if len(miss):
-                u, i, back = np.unique(h[miss], return_index=True, return_inverse=True)
-                n[miss] = self._length(u, cps, s[miss[i]], e[miss[i]])[back]
-            out[first:end] = np.bincount(doc, n, end - first).astype(np.int64)
+            i, back = K.distinct_spans(cps, s, e)
+            if len(known) > CACHE:
+                known.clear()
+            n = np.empty(len(i), np.int64)
+            for k, t in enumerate(K.texts_of(cps, s[i], e[i])):
+                x = table.get(t)
+                if x is None:
+                    x = known.get(t)
+                    if x is None:
+                        x = known[t] = len(encode(t))
+                n[k] = x
+            out[first:end] = np.bincount(doc, n[back], end - first).astype(np.int64)
         return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -84,12 +75,12 @@ class Encoder:
                 continue
             if len(known) > CACHE:
                 known.clear()
-            u, i, back = np.unique(K.span_hashes(cps, s, e), return_index=True, return_inverse=True)
+            i, back = K.distinct_spans(cps, s, e)
             parts = []
-            for k, x in enumerate(u.tolist()):
-                p = known.get(x)
+            for t in K.texts_of(cps, s[i], e[i]):
+                p = known.get(t)
                 if p is None:
-                    p = known[x] = np.array(encode(K.text_of(cps, s[i[k]], e[i[k]])), np.uint32).tobytes()
+                    p = known[t] = np.array(encode(t), np.uint32).tobytes()
                 parts.append(p)
             size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
             flat, at = np.frombuffer(b"".join(parts), np.uint32), np.zeros(len(parts) + 1, np.int64)

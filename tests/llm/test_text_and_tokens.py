@@ -48,16 +48,39 @@ def test_counts_equal_direct_encoding(spark):
     enc = Encoder.get(VOCABULARY).enc
     assert [r["_n_tokens"] for r in got] == [None if t is None else len(enc.encode_ordinary(t)) for t in TEXTS]
     assert got[0]["n_tokens"] == "x" and C.with_token_counts(df.limit(0)).count() == 0
-    keys, sizes = C.frequent_table(df, size=20)
-    assert len(keys) == 20 and (np.diff(keys.astype(object)) > 0).all() and sizes.min() > 0
+    table = C.frequent_table(df, size=5)
+    assert len(table) == 5 and all(n == len(enc.encode_ordinary(t)) for t, n in table.items()) and table[" word"] == 1
+    assert C.frequent_table(df.limit(0)) == {} and len(C.frequent_table(df.coalesce(1), rows=2)) < len(C.frequent_table(df))
 
 
 def test_counts_with_any_table(spark):
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
-    a, b = (C.with_token_counts(documents(spark), keep=["N"], table=t).orderBy("N").collect() for t in (none, None))
+    a, b = (C.with_token_counts(documents(spark), keep=["N"], table=t).orderBy("N").collect() for t in ({}, None))
     assert a == b
 
 
+def alike(n):
+    """Two words of 2**n letters whose polynomial hashes modulo 2**64 are equal."""
+    a = "".join("ab"[k.bit_count() % 2] for k in range(1 << n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_with_one_hash_keep_their_own_tokens(spark):
+    enc = Encoder.get(VOCABULARY).enc
+    for n in (11, 12):
+        x, y = alike(n)
+        assert len(set(K.word_hash([x, y]).tolist())) == 1
+        own = Encoder(VOCABULARY)
+        assert [i.tolist() for i in own.encode([f"{x} {y}", y, x])] == [enc.encode_ordinary(t) for t in (f"{x} {y}", y, x)]
+        texts = [x, y, f"{x} q {y}", f"{y} q {x}"]
+        assert own.counts(texts).tolist() == [len(enc.encode_ordinary(t)) for t in texts]
+        df = documents(spark, texts)
+        assert [r[1] for r in C.with_token_counts(df, keep=["N"]).orderBy("N").collect()] == [len(enc.encode_ordinary(t)) for t in texts]
+        path = new_path(spark, "store")
+        S.build(df, path)
+        assert sorted((r.doc_id, r.ids) for r in S.read_documents(spark, path).collect()) == [(i, enc.encode_ordinary(t)) for i, t in enumerate(texts)]
+        assert S.verify(spark, path).where("verified").count() == 4
+
+
 def test_chunks_follow_content():
     r = np.random.default_rng(1)
     ids = r.integers(0, 50000, 20000).astype(np.uint32)
@@ -102,6 +125,27 @@ def test_a_damaged_store_is_noticed(spark):
     assert S.verify(spark, other).where("not verified").count() >= 1
 
 
+def test_a_recipe_that_lacks_or_swaps_a_chunk_is_noticed(spark):
+    path = new_path(spark, "store")
+    S.build(documents(spark, [" ".join(f"w{k}" for k in range(4000))]), path)
+    row = S.recipes(spark, path).first()
+    assert len(row.recipe) > 2
+    for recipe, size in ((row.recipe[:-1], row.n_tokens), ([row.recipe[1], row.recipe[0], *row.recipe[2:]], row.n_tokens), (row.recipe, row.n_tokens + 1)):
+        other = new_path(spark, "store")
+        bad = spark.createDataFrame([("recipes", 0, 0, size, row.digest, recipe, S.merkle_root([bytes(x) for x in recipe]))], S._schema(S.T.LongType())[:7])
+        bad.write.partitionBy("kind").parquet(f"{other}/staged")
+        spark.read.parquet(f"{path}/chunks").write.parquet(f"{other}/chunks")
+        assert [r.verified for r in S.verify(spark, other).collect()] == [False]
+    ids = np.random.default_rng(2).integers(0, 50000, 5000).astype(np.uint32)
+    assert S.joined_digest([(len(x), *S.digest(x)) for x in np.split(ids, [0, 7, 4000])]) == S.digest(ids)
+
+
+def test_names_as_ids(spark):
+    df = documents(spark).selectExpr("concat('d', doc_id) doc_id", "text", "text recipe")
+    got = S.store_documents(df).collect()
+    assert {r.doc_id for r in got} == {f"d{i}" for i in range(len(TEXTS))} and all(r.verified for r in got)
+
+
 def test_empty_store(spark):
     assert S.store_documents(documents(spark).limit(0)).count() == 0
 
