@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -19,9 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_made: set[str] = set()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has used yet, for what only this application reads: what still lies there when
+    the driver ends is removed."""
+    if not _made:
+        atexit.register(_sweep, spark)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
+def _sweep(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended before
+        for path in sorted(_made):
+            remove(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -34,4 +50,5 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a written table that nothing needs any more."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    at.getFileSystem(jvm.org.apache.spark.deploy.SparkHadoopUtil.get().conf()).delete(at, True)
+    _made.discard(path)
