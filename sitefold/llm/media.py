@@ -8,9 +8,11 @@ order of time and code.
 
 The tables hold no recordings, so tone_column() makes some: each number of an embedding is a tone of TONE seconds.
 
-Defined results: null bytes, and bytes that aren't a WAV file, have null duration, rate and fingerprint; recordings
-shorter than a frame, or silent ones, have an empty fingerprint; null or empty embeddings have null bytes, null and
-non-finite numbers in one are silence; repeated rows are read each; an empty table gives an empty table.
+Defined results: null bytes, and bytes that aren't a WAV file, have null duration, rate and fingerprint, as have those
+with a rate of 0, without channels or with samples of more than 32 bits; recordings shorter than a frame, or silent ones,
+have an empty fingerprint; long ones are read whole; neighbours that are equally high are peaks each; null or empty
+embeddings have null bytes, null and non-finite numbers in one are silence; repeated rows are read each; an empty table gives
+an empty table; other columns stay, and new ones that would clash get an underscore in front.
 """
 
 from __future__ import annotations
@@ -52,6 +54,8 @@ def samples(data: bytes) -> tuple[np.ndarray, int]:
     """Samples between -1 and 1, and the rate."""
     with wave.open(io.BytesIO(data)) as w:
         width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
+        if rate <= 0 or channels < 1 or not 1 <= width <= 4:
+            raise ValueError("no such recording")
         raw = w.readframes(w.getnframes())
     raw = raw[: len(raw) // (width * channels) * width * channels]
     if width == 1:
@@ -81,8 +85,13 @@ def peaks(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     padded = np.full((n + 2 * NEAR, m + 2 * NEAR), -1.0)
     padded[NEAR : NEAR + n, NEAR : NEAR + m] = s
-    rows = np.max([padded[k : k + n] for k in range(2 * NEAR + 1)], axis=0)
-    best = np.max([rows[:, k : k + m] for k in range(2 * NEAR + 1)], axis=0)
+    best = padded
+    for axis in (0, 1):  # the highest of 1, 2, 4, ... in a row, and then of all
+        width = 1
+        while width < 2 * NEAR + 1:
+            step = min(width, 2 * NEAR + 1 - width)
+            best = np.maximum(best[:-step], best[step:]) if axis == 0 else np.maximum(best[:, :-step], best[:, step:])
+            width += step
     return np.nonzero((s == best) & (s > s.mean(1, keepdims=True)) & (s > 1e-4))
 
 
