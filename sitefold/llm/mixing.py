@@ -12,7 +12,9 @@ to the nearest document. The order is found in two steps (a histogram of the has
 end), so no pattern is ever sorted as a whole; documents are chosen by comparing their own hash, without a join.
 
 Defined results: null source and language count as the source "unknown"; null and empty texts have no tokens and stay,
-once; equal hashes (repeated rows) are chosen together; an empty table gives an empty table; other columns stay.
+once; very long texts are counted whole; equal hashes (repeated rows) are chosen together, and of two ends equally near the
+later one counts; weights of 0 or less count as none, and documents of which no source has a weight aren't chosen; an empty
+table gives an empty table; other columns stay, and new ones that would clash get an underscore in front.
 """
 
 from __future__ import annotations
@@ -163,8 +165,10 @@ def solve(patterns: list[tuple[tuple[str, ...], int]], weights: dict[str, Fracti
 
 
 def least_budget(patterns: list[tuple[tuple[str, ...], int]], weights: dict[str, Fraction]) -> int:
-    """The smallest budget, to about a thousandth, at which the quotas can take every token once."""
-    total = sum(n for _, n in patterns)
+    """The smallest budget, to about a thousandth, at which the quotas can take every token once of patterns with a weighted source."""
+    total = sum(n for member, n in patterns if any(x in weights for x in member))
+    if not total:
+        return 0
     # integer quotas lose less than one token each
     enough = lambda b: sum(solve(patterns, weights, b, 1).used) >= total
     low, high = total, total
@@ -193,9 +197,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int |
     patterns = [(tuple(m.split("\x1f")), int(n)) for m, n in found]
     if not patterns:
         return docs.withColumn(copies, F.lit(1)), Plan(0, {}, [], {})
-    w = target_weights(patterns, alpha) if weights is None else {x: Fraction(v).limit_denominator(10**9) / sum(Fraction(u).limit_denominator(10**9) for u in weights.values()) for x, v in weights.items()}
+    if weights is None:
+        w = target_weights(patterns, alpha)
+    else:
+        given = {x: Fraction(v).limit_denominator(10**9) for x, v in weights.items() if v > 0}
+        w = {x: v / sum(given.values()) for x, v in given.items()}
     if budget is None:
-        budget = max(least_budget(patterns, w), int(EPOCHS * sum(n for _, n in patterns)))
+        budget = max(least_budget(patterns, w), int(EPOCHS * sum(n for member, n in patterns if any(x in w for x in member))))
     plan = solve(patterns, w, budget, passes)
     spark = docs.sparkSession
     whole = [u // n for u, (_, n) in zip(plan.used, patterns)]
