@@ -4,11 +4,13 @@ Documents longer than a sequence are cut into whole sequences and a rest. Length
 UNITS tokens, rounded up. Every way to fill a sequence exactly with up to MOST pieces is a pattern; non-negative least
 squares fits how often each is used to the histogram of lengths, with missing pieces weighing more than ones left over,
 and the counts are rounded down. Pieces are numbered within their length by a seeded order, in parallel (per length and
-shard, with the shards' totals in front), so that a piece finds its pattern, repeat and place by arithmetic. What the
-patterns leave is packed by best fit decreasing on the true lengths, in parallel groups of about GROUP pieces.
+shard of about SHARD pieces, with the shards' totals in front), so that a piece finds its pattern, repeat and place by
+arithmetic. What the patterns leave, such as most of a corpus of short documents, is packed by best fit decreasing on the
+true lengths, in parallel groups of about GROUP pieces.
 
-Defined results: null and empty texts have no piece; repeated rows are packed each; an empty table gives an empty table;
-other columns of the input don't matter.
+Defined results: null and empty texts have no piece; repeated rows are packed each, and equal ones in any order among
+themselves; very long texts have as many pieces as they need; a doc_id may be of any type; an empty table gives an empty
+table; other columns of the input don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,18 +19,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import cut
+from .shared import cut, small_or_shuffled
 from .token_counts import with_token_counts
 from .tokenizer import VOCABULARY
 
 CAPACITY = 2048
 UNITS = 128
 MOST = 4
-SHARDS = 64
+SHARD = 1_000_000
 GROUP = 20_000
 RESIDUAL = 1 << 60
-SCHEMA = "doc_id long, piece int, n_tokens int, bin_id long, bin_offset int"
 
 
 def patterns(units: int = UNITS, most: int = MOST) -> np.ndarray:
@@ -131,7 +133,7 @@ def pieces(counted: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, units: int = UNITS, most: int = MOST, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, piece, n_tokens, bin_id, bin_offset of every piece of every document."""
-    only = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    only = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return pack_lengths(with_token_counts(only, "text", "n_tokens", vocabulary, keep=["doc_id"]), capacity, units, most)
 
 
@@ -139,12 +141,13 @@ def pack_lengths(counted: DataFrame, capacity: int = CAPACITY, units: int = UNIT
     """The same for a table of doc_id, n_tokens."""
     spark = counted.sparkSession
     unit = capacity // units
-    shard = F.pmod(F.xxhash64("doc_id", "piece", F.lit(3)), F.lit(SHARDS)).cast("int")
-    every = cut(pieces(counted, capacity).select("*", F.ceil(F.col("n_tokens") / unit).cast("int").alias("u"), shard.alias("shard")))
-    # shards and lengths are few, so their totals are too
-    totals = every.groupBy("u", "shard").agg(F.count("*").alias("n")).toPandas().sort_values(["u", "shard"], ignore_index=True)
+    every = cut(pieces(counted, capacity).withColumn("u", F.ceil(F.col("n_tokens") / unit).cast("int")))
+    shards = max(8, every.count() // SHARD)
+    sharded = every.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(3)), F.lit(shards)).cast("int"))
+    totals = cut(sharded.groupBy("u", "shard").agg(F.count("*").alias("n")))
     histogram = np.zeros(units, np.int64)
-    np.add.at(histogram, totals.u.to_numpy(np.int64) - 1, totals.n.to_numpy(np.int64))
+    for r in totals.groupBy("u").agg(F.sum("n").alias("n")).collect():  # as many rows as units
+        histogram[r["u"] - 1] = r["n"]
     # a whole sequence is its own pattern; the fit is for the others
     pat = patterns(units, most)
     alone = np.flatnonzero(pat[:, units - 1] == 1)
@@ -163,10 +166,10 @@ def pack_lengths(counted: DataFrame, capacity: int = CAPACITY, units: int = UNIT
                 used[x - 1] += count[k]
                 place += 1
         first_bin += int(count[k])
-    totals["start"] = totals.groupby("u").n.cumsum() - totals.n
-    starts = F.broadcast(spark.createDataFrame([(int(r.u), int(r.shard), int(r.start)) for r in totals.itertuples()], "u int, shard int, start long"))
+    before = F.sum("n").over(Window.partitionBy("u").orderBy("shard")) - F.col("n")
+    starts = small_or_shuffled(totals.select("u", "shard", before.alias("start")), rows=units * shards)
     number = F.row_number().over(Window.partitionBy("u", "shard").orderBy(F.xxhash64("doc_id", "piece"), "doc_id", "piece", "n_tokens")) - 1
-    numbered = every.join(starts, ["u", "shard"]).select("doc_id", "piece", "n_tokens", F.col("u"), (F.col("start") + number).alias("r"))
+    numbered = sharded.join(starts, ["u", "shard"]).select("doc_id", "piece", "n_tokens", F.col("u"), (F.col("start") + number).alias("r"))
     table = F.broadcast(spark.createDataFrame(ranges, "u int, low long, high long, bin long, place int"))
     # lengths have few ranges each; the range join is a hash join on the length with a filter
     placed = numbered.join(table, (numbered.u == table.u) & (F.col("r") >= F.col("low")) & (F.col("r") < F.col("high")), "left").select("doc_id", "piece", "n_tokens", "r", (F.col("bin") + F.col("r") - F.col("low")).alias("bin_id"), "place")
@@ -182,7 +185,8 @@ def pack_lengths(counted: DataFrame, capacity: int = CAPACITY, units: int = UNIT
         return pd.DataFrame({"doc_id": pdf.doc_id, "piece": pdf.piece, "n_tokens": pdf.n_tokens, "bin_id": RESIDUAL + pdf.g.astype("int64") * (1 << 32) + np.array(b, np.int64), "bin_offset": np.array(o, np.int64)})
 
     spread = left.select("doc_id", "piece", "n_tokens", F.pmod(F.xxhash64("doc_id", "piece", F.lit(4)), F.lit(groups)).cast("int").alias("g"))
-    return fitted.unionByName(spread.groupBy("g").applyInPandas(residual, SCHEMA))
+    rest = spread.groupBy("g").applyInPandas(residual, T.StructType([counted.schema["doc_id"], *T.StructType.fromDDL("piece int, n_tokens int, bin_id long, bin_offset int")]))
+    return fitted.unionByName(rest)
 
 
 def check_fill(packed: pd.DataFrame, capacity: int = CAPACITY) -> float:
