@@ -10,6 +10,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 BLOCK, BLOCK_TEXTS = 1 << 19, 4096
 #: Texts that are taken out of an Arrow batch at once.
@@ -145,26 +146,17 @@ def span_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(h ^ (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-def distinct_spans(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For spans that fill cps one after another: the first span of each distinct text, and which of these each span is."""
-    _, first, back = np.unique(span_hashes(cps, starts, ends), return_index=True, return_inverse=True)
-    size = ends - starts
-    model = starts[first[back]]
-    same = size == size[first[back]]
-    if same.all():
-        same_chars = cps[np.arange(len(cps)) + np.repeat(model - starts, size)] == cps
-        if same_chars.all():
-            return first, back
-    # some hashes are alike: texts tell the spans apart
-    seen: dict[str, int] = {}
-    back = np.array([seen.setdefault(text_of(cps, s, e), len(seen)) for s, e in zip(starts.tolist(), ends.tolist())], np.int64)
-    _, first = np.unique(back, return_index=True)
-    return first, back
-
-
-def texts_of(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
-    whole = text_of(cps, 0, len(cps))
-    return [whole[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
+def distinct_texts(cps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For spans that fill cps one after another: which distinct text each is, and these texts. Equal ones are found by their
+    bytes, not by hashes alone."""
+    data = text_of(cps, 0, len(cps)).encode("utf-8", "surrogatepass")
+    at = np.append(starts, len(cps))
+    if len(data) != len(cps):
+        more = np.zeros(len(cps) + 1, np.int32)
+        np.cumsum((cps > 0x7F).view(np.int8) + (cps > 0x7FF).view(np.int8) + (cps > 0xFFFF).view(np.int8), out=more[1:])
+        at = at + more[at]
+    found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False)
 
 
 def word_hash(words: list[str]) -> np.ndarray:

@@ -2,36 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow side (a key and a few numbers) is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="sitefold-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
-
+from ..shared import cut, new_path, remove, shared_dir
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["BROADCAST_ROWS", "cut", "filesystem", "free_name", "new_path", "remove", "shared_dir", "small_or_shuffled"]
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder once and read from there: a lost executor costs no earlier work."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+#: Rows up to which a narrow side (a key and a few numbers) is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 2_000_000
 
 
 def small_or_shuffled(side: DataFrame, rows: int | None = None) -> DataFrame:
@@ -48,13 +27,6 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a written table that nothing needs any more."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def filesystem(path: str):
     """pyarrow's file system for a path of the shared folder, and the path in it."""
     from pyarrow import fs

@@ -36,12 +36,10 @@ def frequent_table(df: DataFrame, text: str = "text", vocabulary: str = VOCABULA
         for b in batches:
             texts = b.column(0).slice(0, left).to_pylist()
             for _, _, cps, offsets in K.blocks(texts):
-                s, e, _ = K.pretoken_spans(cps, offsets)
-                if len(s):
-                    i, back = K.distinct_spans(cps, s, e)
-                    for t, n in zip(K.texts_of(cps, s[i], e[i]), np.bincount(back).tolist()):
-                        if len(t) <= TABLE_WORD:
-                            seen[t] += n
+                which, words = K.distinct_texts(cps, K.pretoken_spans(cps, offsets)[0])
+                for t, n in zip(words, np.bincount(which, minlength=len(words)).tolist()):
+                    if len(t) <= TABLE_WORD:
+                        seen[t] += n
             left -= len(texts)
             if left <= 0:
                 break  # the rest of the partition isn't read

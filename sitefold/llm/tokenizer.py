@@ -25,15 +25,38 @@ def encoding(vocabulary: str):
     return tiktoken.Encoding(Path(vocabulary).stem, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+class _Lengths(dict):
+    """Tokens of a pre-token: the frequent ones that it starts with, and those that the worker has met."""
+
+    def __init__(self, encode, table: dict[str, int]):
+        super().__init__(table)
+        self.encode = encode
+
+    def __missing__(self, text: str) -> int:
+        n = self[text] = len(self.encode(text))
+        return n
+
+
+class _Ids(dict):
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self[text] = np.array(self.encode(text), np.uint32).tobytes()
+        return ids
+
+
 class Encoder:
-    """Token counts and token ids of texts. Pre-tokens are found by their own characters: hashes only group those of a block."""
+    """Token counts and token ids of texts. Pre-tokens are found by their own characters, so no two are taken for each other."""
 
     _own: dict[str, "Encoder"] = {}
 
     def __init__(self, vocabulary: str):
         self.enc = encoding(vocabulary)
-        self.lengths: dict[str, int] = {}
-        self.ids: dict[str, bytes] = {}
+        self.table: dict[str, int] = {}
+        self.lengths = _Lengths(self.enc.encode_ordinary, {})
+        self.ids = _Ids(self.enc.encode_ordinary)
 
     @classmethod
     def get(cls, vocabulary: str) -> "Encoder":
@@ -45,49 +68,30 @@ class Encoder:
     def counts(self, texts: list[str | None], table: dict[str, int] | None = None) -> np.ndarray:
         """Tokens of each text, 0 for None and empty ones. table: lengths of frequent pre-tokens in tokens."""
         out = np.zeros(len(texts), np.int64)
-        known, encode, table = self.lengths, self.enc.encode_ordinary, table or {}
+        if table is not None and table is not self.table:
+            self.table, self.lengths = table, _Lengths(self.enc.encode_ordinary, table)
         for first, end, cps, offsets in K.blocks(texts):
             s, e, doc = K.pretoken_spans(cps, offsets)
-            if not len(s):
-                continue
-            i, back = K.distinct_spans(cps, s, e)
-            if len(known) > CACHE:
-                known.clear()
-            n = np.empty(len(i), np.int64)
-            for k, t in enumerate(K.texts_of(cps, s[i], e[i])):
-                x = table.get(t)
-                if x is None:
-                    x = known.get(t)
-                    if x is None:
-                        x = known[t] = len(encode(t))
-                n[k] = x
-            out[first:end] = np.bincount(doc, n[back], end - first).astype(np.int64)
+            if len(self.lengths) > CACHE + len(self.table):
+                self.lengths = _Lengths(self.enc.encode_ordinary, self.table)
+            which, words = K.distinct_texts(cps, s)
+            n = np.fromiter(map(self.lengths.__getitem__, words), np.int64, len(words))
+            out[first:end] = np.bincount(doc, n[which], end - first).astype(np.int64)
         return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of each text as uint32."""
         out: list[np.ndarray] = []
-        known, encode = self.ids, self.enc.encode_ordinary
         for first, end, cps, offsets in K.blocks(texts):
             s, e, doc = K.pretoken_spans(cps, offsets)
-            if not len(s):
-                out += [np.zeros(0, np.uint32)] * (end - first)
-                continue
-            if len(known) > CACHE:
-                known.clear()
-            i, back = K.distinct_spans(cps, s, e)
-            parts = []
-            for t in K.texts_of(cps, s[i], e[i]):
-                p = known.get(t)
-                if p is None:
-                    p = known[t] = np.array(encode(t), np.uint32).tobytes()
-                parts.append(p)
+            if len(self.ids) > CACHE:
+                self.ids.clear()
+            which, words = K.distinct_texts(cps, s)
+            parts = list(map(self.ids.__getitem__, words))
             size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-            flat, at = np.frombuffer(b"".join(parts), np.uint32), np.zeros(len(parts) + 1, np.int64)
-            np.cumsum(size, out=at[1:])
-            n = size[back]
-            stop = np.cumsum(n)
-            ids = flat[np.repeat(at[back] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
+            flat, at = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(size) - size
+            n = size[which]
+            ids = flat[np.repeat(at[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             per = np.zeros(end - first + 1, np.int64)
             np.cumsum(np.bincount(doc, n, end - first).astype(np.int64), out=per[1:])
             out += [ids[per[k] : per[k + 1]] for k in range(end - first)]
