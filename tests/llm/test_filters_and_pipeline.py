@@ -39,11 +39,17 @@ def corpus(seed=1, groups=30, alone=400):
 def brute_groups(texts, distance=S.DISTANCE):
     fp = S.fingerprints(texts)
     parent = list(range(len(texts)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
     for i, j in S.close_pairs(fp, distance):
         for a, b in zip(i.tolist(), j.tolist()):
-            a, b = S._root(parent, a), S._root(parent, b)
+            a, b = root(a), root(b)
             parent[max(a, b)] = min(a, b)
-    return [S._root(parent, k) for k in range(len(texts))]
+    return [root(k) for k in range(len(texts))]
 
 
 def test_forest_against_brute_force(spark):
@@ -60,35 +66,84 @@ def test_forest_against_brute_force(spark):
     assert sum(r.kept for r in got.values()) == len({r.group_id for r in got.values()})
 
 
-@pytest.mark.parametrize("tries, depth", [(1, 0), (40, 12)])
-def test_pairs_against_brute_force(spark, tries, depth):
-    """With no prefix at all every pair is compared; with one, recall stays."""
-    texts, _ = corpus(2, 20, 200)
-    fp = S.fingerprints(texts)
-    nodes = spark.createDataFrame([tuple(int(x) for x in (n, *f.view(np.int64))) for n, f in zip(S.node_ids(fp), fp)], ", ".join(f"{x} long" for x in S._FIELDS))
-    ids = S.node_ids(fp)
-    want = {tuple(sorted((int(ids[a]), int(ids[b])))) for i, j in S.close_pairs(fp) for a, b in zip(i, j)}
-    got = {(r.a, r.b) for r in S.verified_edges(nodes, tries, depth, all_pairs=True).collect()}
-    assert got <= want and len(got) >= (1 if not depth else 0.9) * len(want) > 0
+def near_prints(n, far, seed=1, groups=40):
+    """Random fingerprints, and for some of them others at just so many bits."""
+    r = np.random.default_rng(seed)
+    fp = r.integers(0, 2**64, (n, S.WORDS), dtype=np.uint64)
+    for g in range(groups):
+        flip = np.zeros(S.BITS, bool)
+        flip[r.permutation(S.BITS)[:far]] = True
+        fp[2 * g + 1] = fp[2 * g] ^ np.packbits(flip, bitorder="little").view(np.uint64)
+    return fp
 
 
-def test_forest_plan_reaches_its_recall():
-    for nodes in (100, 10**5, 10**8):
-        sizes = np.full(1 << 16, nodes / (1 << 16))
-        tries, depth = S.plan_forest(sizes, 16, nodes)
-        p = np.prod([(S.BITS - S.DISTANCE - k) / (S.BITS - k) for k in range(depth)])
-        assert 1 - (1 - p) ** tries >= S.RECALL - 1e-9
+def frame_of(spark, fp):
+    return spark.createDataFrame([tuple(int(x) for x in (n, *f.view(np.int64))) for n, f in zip(S.node_ids(fp), fp)], ", ".join(f"{x} long" for x in S._FIELDS))
 
 
-def test_blocks_of_any_size_are_compared():
+@pytest.mark.parametrize("most", [S.BRANCH, 20])
+@pytest.mark.parametrize("far", [3, 26, 45, 52])
+def test_pairs_against_brute_force(spark, far, most):
+    """Recall of pairs at several distances; with small branches dense ones are split and their nodes enter more tries."""
+    fp = near_prints(1500, far, far, 200)
+    nodes, ids = frame_of(spark, fp), S.node_ids(fp)
+    want = {tuple(sorted((int(ids[a]), int(ids[b])))) for i, j in S.close_pairs(fp) for a, b in zip(i, j)}
+    depths = S.plan_tries(nodes, most=most)
+    assert len(depths) >= S.tries_for(S.START) and (most == S.BRANCH) == (max(x.max() for x in depths) == S.START)
+    got = {(r.a, r.b) for r in S.verified_edges(nodes, depths, all_pairs=True).collect()}
+    assert len(want) >= 200 and got <= want and len(got) >= (0.9 if far < 50 else 0.85) * len(want)
+
+
+def test_recall_of_whole_forests():
+    for distance in (20, 52):
+        for tries in (1, 5, 40):
+            depth = S.depth_for(tries, distance, 0.95, S.BITS)
+            assert 1 - (1 - S.shared_prefix(depth, distance)) ** tries >= 0.95 or depth == 0
+            assert 1 - (1 - S.shared_prefix(depth + 1, distance)) ** tries < 0.95
+        assert 1 - (1 - S.LOCAL_RECALL * S.shared_prefix(S.START, distance)) ** S.tries_for(S.START, distance) >= S.RECALL
+    # below one branch: a forest of its own finds what all pairs find
+    fp = near_prints(20_000, 52, 3, 1500)
+    assert S.plan_branch(fp)[1] > 0
+    want = {(int(min(a, b)), int(max(a, b))) for i, j in S.close_pairs(fp) for a, b in zip(i, j)}
+    i, j = S.branch_links(fp, all_pairs=True)
+    got = {(int(min(a, b)), int(max(a, b))) for a, b in zip(i, j)}
+    assert got <= want and len(got) >= 0.93 * len(want)
+
+
+def test_branches_split_where_they_are_dense():
+    r = np.random.default_rng(5)
+    codes = np.sort(np.concatenate([r.integers(0, 1 << 10, 3000), np.full(500, 77)]))
+    starts, ends = S.leaves(codes, 10, 40)
+    assert starts[0] == 0 and ends[-1] == len(codes) and (starts[1:] == ends[:-1]).all()
+    for s, e in zip(starts, ends):
+        same = codes[s] ^ codes[e - 1]
+        assert e - s <= 40 or same == 0
+    counts = np.ones(1 << S.END, np.int64)
+    counts[0] = 10_000
+    depth = S.branch_depths(counts, 100)
+    assert depth[0] == S.END and depth[-1] == S.START and depth[1] == S.END and depth[2] == S.END - 1
+    fp = near_prints(100, 52)
+    entered = [list(S.entries(fp, [np.full(1 << S.END, k)] * 300)) for k in (S.START, S.END)]
+    assert len(entered[0]) == S.tries_for(S.START) < len(entered[1]) == S.tries_for(S.END)
+
+
+def test_leaves_of_any_size_are_linked():
+    """A dense group of near copies, its outskirts, and others: the same components as by all pairs."""
+    r = np.random.default_rng(6)
+    middle = r.integers(0, 2**64, S.WORDS, dtype=np.uint64)
+    flips = np.packbits(r.random((3000, S.BITS)) < np.repeat([0.03, 0.1, 0.16], 1000)[:, None], axis=1, bitorder="little").view(np.uint64)
+    fp = np.concatenate([middle ^ flips, r.integers(0, 2**64, (1500, S.WORDS), dtype=np.uint64)])[r.permutation(4500)]
+    pairs = [[np.concatenate(x) for x in zip(*f(fp))] for f in (S.close_pairs, S.linked)]
+    a, b = (S._labels(i, j, len(fp)) for i, j in pairs)
+    assert (a == b).all() and len(pairs[1][0]) < len(pairs[0][0]) / 5
     fp = np.repeat(S.fingerprints(["a b c d"]), 3000, 0)
-    assert sum(len(i) for i, _ in S.close_pairs(fp)) == 3000 * 2999 // 2
+    assert sum(len(i) for i, _ in S.close_pairs(fp)) == 3000 * 2999 // 2 and sum(len(i) for i, _ in S.linked(fp)) == 2999
 
 
 def test_chains_are_one_group(spark):
-    e = [(i, i + 1) for i in range(60)] + [(100, 102), (101, 102), (7, 7)]
+    e = [(i, i + 1) for i in range(300)] + [(100, 102), (101, 102), (7, 7)]
     got = {r.node: r.root for r in S.components(spark.createDataFrame(e, "a long, b long")).collect()}
-    assert all(got[i] == 0 for i in range(1, 61)) and got[101] == got[102] == 100
+    assert all(got[i] == 0 for i in range(1, 301)) and got[101] == got[102] == 100
 
 
 EDGE_ROWS = [(1, None), (None, None), (2, ""), (3, ""), (4, "!!"), (5, "!!"), (6, "?"), (7, "one"), (8, "One"), (9, "two words"), (None, "two words"), (9, "two words"), (10, "long " * 100_000), (11, "x")]
