@@ -44,32 +44,57 @@ def _ready(folder: str, need_pages: bool = False) -> Settings:
     return s
 
 
+def _log(s: Settings) -> tuple[str, str]:
+    """Where the instance's log is, and its storage: a tab-separated one without a database, else Parquet, which stands in for
+    database files. A log that is there already is gone on with."""
+    folders = {"parquet": f"{s.target_folder}/overview", "csv": f"{s.target_folder}/overview_tsv"}
+    there = [f for f, path in folders.items() if Path(path).exists()]
+    fmt = there[0] if there else "csv" if overview_log.resolve_backend(s.target_folder, use_database=s.use_database) == "csv" else "parquet"
+    return folders[fmt], fmt
+
+
 def _crawl(a: argparse.Namespace) -> int:
     from pyspark.sql import functions as F
 
     from .functions.domains import host_of
+    from .functions.robots import parse_robots
     from .functions.rules import load_rules
     from .operators import crawl as C
     from .operators import overview as O
+    from .shared import cut
+    from .sources.fetch import Fetcher
 
     s, spark = _ready(a.folder), _session("sitefold crawl")
-    log_path = f"{s.target_folder}/overview"
-    have_log = Path(log_path).exists()
-    log = overview_log.read_log(spark, log_path) if have_log else None
+    log_path, fmt = _log(s)
+    log = overview_log.read_log(spark, log_path, fmt) if Path(log_path).exists() else None
     today = a.date or datetime.date.today().isoformat()
     if a.complement:
+        if log is None:
+            raise SystemExit("there is no log yet, so nothing to ask again")
         wanted = O.complement(log.withColumn("ord", F.monotonically_increasing_id()), a.complement)
     else:
         wanted = seeds.read_source_urls(spark, s.source_file).select("url", "identifier")
     config = C.CrawlConfig(max_level=a.max_level, max_pages=a.max_pages, recrawl_days=a.recrawl_days, rules=load_rules(a.rules, a.allow, a.block))
-    store = spark.read.parquet(a.pages)
-    done = C.crawl(wanted, store, today, config, log=log)
-    overview_log.append_log(done, log_path, once=True)
-    pages = overview_log.read_log(spark, log_path).where((F.col("session_date") == today) & (F.col("status") == "200"))
-    html = pages.join(store.select("url", "html"), "url").select(F.regexp_replace(host_of("url"), r"www\.", "").alias("zip_name"), F.regexp_replace("path", r"^[^/]+/", "").alias("member"), F.col("html").cast("binary").alias("content"))
-    if not a.no_html:
+    got = 0
+    for _ in range(1 if a.pages else 2):  # a run over the network that gets nothing is tried once more
+        store = spark.read.parquet(a.pages) if a.pages else Fetcher(timeout=a.timeout)
+        robots = parse_robots(spark.read.parquet(a.robots)) if a.robots else None if a.pages else store.robots(wanted)
+        done = cut(C.crawl(wanted, store, today, config, robots=robots, log=log))
+        got = done.where("status = '200'").count()
+        if got:
+            break
+    overview_log.append_log(done, log_path, fmt, once=True)
+    pages = store if a.pages else store.pages()
+    pages = done.where("status = '200'").dropDuplicates(["url"]).join(pages.select("url", "html").dropDuplicates(["url"]), "url")
+    if a.extract:  # pages go straight into records; none is kept
+        from .operators import extract as E
+
+        records = E.extract(pages, E.contact_fields() if a.contacts else None)
+        ndjson.write_records(records, f"{s.target_folder}/extracted_data", today)
+    elif not a.no_html:
+        html = pages.select(F.regexp_replace(host_of("url"), r"www\.", "").alias("zip_name"), F.regexp_replace("path", r"^[^/]+/", "").alias("member"), F.col("html").cast("binary").alias("content"))
         archive.write_archives(html, f"file://{Path(s.target_folder).resolve()}/crawled_data")
-    print(f"{pages.count()} pages")
+    print(f"{got} pages")
     return 0
 
 
@@ -89,7 +114,7 @@ def _extract(a: argparse.Namespace) -> int:
         own = E.contact_fields()
         own.page |= extra.page if extra else {}
         extra = own
-    rows = O.success_window(overview_log.read_log(spark, f"{s.target_folder}/overview"), start, end)
+    rows = O.success_window(overview_log.read_log(spark, *_log(s)), start, end)
     where = F.concat(F.lit("crawled_data/"), F.regexp_replace(host_of("url"), r"www\.", ""), F.lit("/"), F.regexp_replace("path", r"^[^/]+/", ""))
     folder = f"file://{Path(s.target_folder).resolve()}/crawled_data"
     pages = archive.with_pages(rows.withColumn("path", where), archive.read_archives(spark, folder))
@@ -104,7 +129,7 @@ def _consolidate(a: argparse.Namespace) -> int:
     from .operators import consolidate as C
 
     s, spark = _ready(a.folder), _session("sitefold consolidate")
-    source = a.input or f"{s.target_folder}/extracted_data"
+    source = a.input or ndjson.latest_run(spark, f"{s.target_folder}/extracted_data")
     records = ndjson.read_records(spark, source)
     ndjson.write_consolidated(C.consolidated(records, chunk_size=a.chunk_size), ndjson.output_path(a.output, target_folder=s.target_folder, source=source))
     return 0
@@ -160,7 +185,11 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--delete", action=argparse.BooleanOptionalAction)
     c.set_defaults(run=_config)
     c = sub.add_parser("crawl")
-    c.add_argument("--pages", required=True, help="a page store: Parquet with url and html")
+    c.add_argument("--pages", help="a page store: Parquet with url and html; without one pages are fetched")
+    c.add_argument("--robots", help="Parquet with host and body of robots.txt; without a page store they are fetched")
+    c.add_argument("--timeout", type=float, default=120.0)
+    c.add_argument("--extract", action="store_true", help="write records at once and keep no pages")
+    c.add_argument("--contacts", action="store_true")
     c.add_argument("--date", type=_date)
     c.add_argument("--complement", type=_date, help="ask again what failed in this session")
     c.add_argument("--max-level", type=int, default=3)

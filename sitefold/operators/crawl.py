@@ -1,7 +1,7 @@
 """Breadth-first crawls over a page store, level by level as DataFrame steps.
 
 The frontier of a level has seed, url, identifier, level and rank (its order). Each level: robots, budget, classification,
-fetch (a join with the store), links, within-domain filter, and what was seen before goes.
+fetch (a join with the store's links, or requests), links, within-domain filter, and what was seen before goes.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from ..functions.domains import SuffixRules, host_of, registered_domain
 from ..functions.robots import allowed as robots_allowed
 from ..functions.rules import Rules, classify_url, load_rules
-from ..functions.urls import authority, clean_url, path, query, with_scheme
+from ..functions.urls import authority, clean_url, page_path, path, query, with_scheme
 from ..shared import cut
 from . import links as L
+from .overview import rows as log_rows
+from .overview import skip_recent
 
 
 @dataclass
@@ -83,20 +85,42 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_level: int = 3, max_pages: int |
     return out
 
 
-def crawl(seeds: DataFrame, store: DataFrame, today: str, config: CrawlConfig | None = None, robots: DataFrame | None = None, log: DataFrame | None = None) -> DataFrame:
-    """Log rows (with seed and rank) of a crawl of seeds (url, identifier) over a page store (url, html; status if it has one).
-    Pages that the store lacks get "404". robots: rules as functions.robots makes them; log: earlier rows, whose recent
-    successes aren't fetched again."""
+NO_SITE, NO_SITE_PATH = "Website not found in __test_domain_robots", "Domain robots URL: invalid URL"
+#: Sites up to which a store is filtered by them in its scan.
+FEW_SITES = 1_000_000
+
+
+def _of_store(store: DataFrame, start: DataFrame, c: CrawlConfig) -> tuple[DataFrame, DataFrame]:
+    """key, status of each clean URL of a store; and key, pos, href of their links. Of several pages of a clean URL the first URL
+    counts, of several bodies of that the first digest. Bodies stay where they are: they are parsed once, in the scan, only
+    pages of the seeds' sites, and just keys, digests and links are shuffled."""
+    status = F.col("status") if "status" in store.columns else F.lit("200")
+    own = store.select("url", "html", clean_url("url").alias("key"), status.cast("string").alias("status"), F.md5(F.coalesce("html", F.lit(""))).alias("digest")).where("url is not null")
+    sites = start.select(F.col("site").alias("_site")).distinct()
+    if not c.strict_host and sites.count() <= FEW_SITES:
+        own = own.join(F.broadcast(sites), registered_domain("url", c.suffixes) == F.col("_site"), "left_semi")
+    index = cut(own.groupBy("key").agg(F.min(F.struct("url", "digest", "status", F.col("html").isNotNull().alias("there"))).alias("p")).select("key", "p.*"))
+    readable = own.where("html is not null and status = '200'")
+    found = L.hrefs(readable, keep=("key", "digest"))
+    same = index.select("key", F.col("url").alias("src_url"), "digest")
+    return index.select("key", "status"), cut(found.join(same, ["key", "src_url", "digest"]).select("key", "pos", "href").distinct())
+
+
+def crawl(seeds: DataFrame, store, today: str, config: CrawlConfig | None = None, robots: DataFrame | None = None, log: DataFrame | None = None) -> DataFrame:
+    """Log rows (with seed and rank) of a crawl of seeds (url, identifier). store: a page store (url, html; status if it has one),
+    whose missing pages get "404", or something that fetches, such as sources.fetch.Fetcher. robots: rules as
+    functions.robots makes them; log: earlier rows, whose recent successes aren't fetched again. Seeds without a host get a
+    row that says so."""
     c = config or CrawlConfig()
     start = seeds.withColumn("url", with_scheme("url")).where("url is not null")
     if log is not None:
-        from .overview import skip_recent
-
         start = skip_recent(start, log, today, c.recrawl_days)
     seed = F.xxhash64("url", F.coalesce("identifier", F.lit("")))
     start = start.select(seed.alias("seed"), "url", F.coalesce("identifier", registered_domain("url", c.suffixes)).alias("identifier"), (F.regexp_replace(host_of("url"), r"www\.", "") if c.strict_host else registered_domain("url", c.suffixes)).alias("site")).dropDuplicates(["seed"])
-    status = F.col("status") if "status" in store.columns else F.lit("200")
-    pages = store.select(clean_url("url").alias("_key"), "html", status.alias("_status")).dropDuplicates(["_key"])
+    lost = start.where(authority("url") == "").select("seed", F.lit(0).cast("long").alias("rank"), "identifier", F.lit(0).alias("level"), "url", F.lit(NO_SITE).alias("status"), F.lit(NO_SITE_PATH).alias("path"))
+    start = cut(start.where(authority("url") != ""))
+    in_store = isinstance(store, DataFrame)
+    index, links = _of_store(store, start, c) if in_store else (None, None)
     frontier = start.select("seed", "url", "identifier", "site", F.lit(0).alias("level"), F.lit(0).cast("long").alias("rank"))
     seen = out = None
     for level in range(c.max_level):
@@ -108,19 +132,20 @@ def crawl(seeds: DataFrame, store: DataFrame, today: str, config: CrawlConfig |
         out = visited if out is None else out.unionByName(visited)
         keys = visited.select("seed", clean_url("url").alias("key"))
         seen = keys if seen is None else seen.unionByName(keys)
+        if not in_store:
+            got = store.fetch(visited.where("followed").select(F.col("site").alias("domain"), "url").distinct(), level)
+            fresh = got.select(clean_url("url").alias("key"), "status").dropDuplicates(["key"])
+            index = fresh if index is None else index.unionByName(fresh).dropDuplicates(["key"])
+            links = L.hrefs(got.where("html is not null and status = '200'").withColumn("key", clean_url("url")), keep=("key",)).select("key", "pos", "href")
         if level + 1 == c.max_level:
             break
-        got = visited.where("followed").join(pages.where("html is not null and _status = '200'"), clean_url("url") == F.col("_key"))
-        found = L.hrefs(got.select("url", "html").dropDuplicates(["url"])).withColumn("dst_url", L.resolve_link("src_url", "href", c.link_base))
-        near = visited.where("followed").select("seed", "identifier", "site", "rank", "url").join(found, F.col("url") == F.col("src_url"))
-        near = near.where(registered_domain("dst_url", c.suffixes) == F.col("site")).select("seed", "identifier", "site", L.strip_query_and_fragment("dst_url").alias("url"), F.struct("rank", "pos").alias("at")).withColumn("key", clean_url("url"))
+        found = visited.where("followed").join(links, clean_url("url") == F.col("key")).withColumn("dst_url", L.resolve_link("url", "href", c.link_base))
+        near = found.where(registered_domain("dst_url", c.suffixes) == F.col("site")).select("seed", "identifier", "site", L.strip_query_and_fragment("dst_url").alias("url"), F.struct("rank", "pos").alias("at")).withColumn("key", clean_url("url"))
         fresh = near.join(seen, ["seed", "key"], "left_anti").groupBy("seed", "identifier", "site", "key").agg(F.min_by("url", "at").alias("url"), F.min("at").alias("at"))
         rank = F.row_number().over(Window.partitionBy("seed").orderBy("at")).cast("long")
         frontier = fresh.select("seed", "url", "identifier", "site", F.lit(level + 1).alias("level"), rank.alias("rank"))
-    done = out.where("followed").join(pages.select("_key", "_status"), clean_url("url") == F.col("_key"), "left")
-    from ..functions.urls import page_path
-
-    return done.select(
-        "seed", "rank", registered_domain("url", c.suffixes).alias("domain"), "identifier", F.col("level").cast("int").alias("level"), "url", F.coalesce("_status", F.lit("404")).alias("status"), F.lit(today).alias("session_date"),
-        F.concat(F.lit(today), F.lit(" 00:00:00")).alias("crawl_date"), F.when(F.col("_status") == "200", page_path("site", "url", F.lit(today))).alias("path"),
-    )
+    answers = index.select(F.col("key").alias("_key"), F.col("status").alias("_status"))
+    done = out.where("followed").join(answers, clean_url("url") == F.col("_key"), "left")
+    rows = done.select("seed", "rank", "identifier", "level", "url", F.coalesce("_status", F.lit("404")).alias("status"), F.when(F.col("_status") == "200", page_path("site", "url", F.lit(today))).alias("path"))
+    dated = rows.unionByName(lost).withColumns({"session_date": F.lit(today), "crawl_date": F.concat(F.lit(today), F.lit(" 00:00:00"))})
+    return log_rows(dated, c.suffixes, "seed", "rank")

@@ -5,14 +5,17 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.domains import SuffixRules, registered_domain
 from ..functions.html import parse
 from ..functions.urls import resolve_link, strip_query_and_fragment
 
 
-def hrefs(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """src_url, pos, href of every anchor, in document order. A page that can't be read has none; the others go on."""
+def hrefs(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """src_url, pos, href of every anchor, in document order, and columns to keep. A page that can't be read has none; the others
+    go on."""
+    schema = T.StructType([T.StructField("src_url", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("href", T.StringType()), *(pages.schema[c] for c in keep)])
 
     def of(u, h):
         try:
@@ -24,15 +27,17 @@ def hrefs(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
         for b in batches:
             for a in range(0, max(b.num_rows, 1), 512):
                 part = b.slice(a, 512)
-                src, pos, href = [], [], []
-                for u, h in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                row, src, pos, href = [], [], [], []
+                for k, (u, h) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
                     found = of(u, h)
+                    row += [k] * len(found)
                     src += [u] * len(found)
                     pos += range(len(found))
                     href += found
-                yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(pos, pa.int32()), pa.array(href, pa.string())], names=["src_url", "pos", "href"])
+                more = part.select(list(range(2, part.num_columns))).take(pa.array(row, pa.int64())).columns if keep else []
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(pos, pa.int32()), pa.array(href, pa.string()), *more], names=schema.names)
 
-    return pages.select(url, html).mapInArrow(run, "src_url string, pos int, href string")
+    return pages.select(url, html, *keep).mapInArrow(run, schema)
 
 
 def edges(pages: DataFrame, base: str = "site") -> DataFrame:

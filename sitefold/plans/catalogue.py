@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -433,11 +434,48 @@ def q_robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.allowed(pages, rules).select("page_id", "allowed")
 
 
-@_query()
+def _tagged_domains(source: str, url: str, tag: str) -> str:
+    """_sql_domains() with other names of its CTEs; the last one is dom_<tag>."""
+    out = _sql_domains(source, url)
+    for name in ("h4", "h3", "h2", "h", "dom"):
+        out = re.sub(rf"(?m)^{name} AS|(?<=FROM ){name}(?=[) ]|$)", lambda m, n=name: m[0].replace(n, f"{n}_{tag}"), out)
+    return out
+
+
+def _key(x: str) -> str:
+    return f"regexp_replace({x}, '(https?://)?(www\\.)?', '', 'g')"
+
+
+def _crawl_level(k: int) -> str:
+    """Level k of every seed: links of the level before, budget, classification."""
+    seen = " UNION ALL ".join(f"SELECT seed, key FROM v{i}" for i in range(k))
+    used = " UNION ALL ".join(f"SELECT seed FROM v{i}" for i in range(k))
+    path, ext = _x("url", 5), f"lower(regexp_extract(regexp_extract({_x('url', 5)}, '([^/]+)/*$', 1), '^.+\\.([^.]+)$', 1))"
+    rule = f"NOT regexp_matches({path}, '^[^a-zA-Z]+$')" if k == 1 else f"regexp_matches({path}, '{_RULES.positive}')"
+    return f"""f{k} AS (SELECT v.seed, v.identifier, v.site, v.rank, s.pos, lower({_x('v.url', 2)}) || '://' || {_x('v.url', 4)} || s.href AS dst FROM v{k - 1} v JOIN links s ON s.key = v.key WHERE v.followed),
+{_tagged_domains(f'f{k}', 'dst', f'l{k}')},
+n{k} AS (SELECT seed, identifier, site, regexp_replace(dst, '(?s)[?#].*$', '') AS url, {_key("regexp_replace(dst, '(?s)[?#].*$', '')")} AS key, rank * 1000000000 + pos AS place FROM dom_l{k} WHERE registered = site),
+g{k} AS (SELECT seed, identifier, site, key, arg_min(url, place) AS url, min(place) AS place FROM n{k} WHERE NOT EXISTS (SELECT 1 FROM ({seen}) o WHERE o.seed = n{k}.seed AND o.key = n{k}.key) GROUP BY ALL),
+r{k} AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY place) AS rank FROM g{k}),
+u{k} AS (SELECT seed, count(*) AS used FROM ({used}) GROUP BY seed),
+v{k} AS (SELECT r.seed, identifier, site, url, key, rank, {k} AS level, CASE WHEN regexp_matches(url, '(?i)^(mailto|tel):') THEN false WHEN {ext} IN ('jpeg','jpg','pdf','png') THEN false WHEN regexp_matches({path}, '{_RULES.negative}') THEN false ELSE {rule} END AS followed FROM r{k} r JOIN u{k} USING (seed) WHERE used < 50 AND rank <= 50 - used + 1)"""
+
+
+@_query(
+    f"""WITH {_tagged_domains('pages', 'url', 's')}, store AS (SELECT {_key('url')} AS key, min({{'url': url, 'digest': md5(coalesce(html, '')), 'html': html}}) AS p FROM pages GROUP BY key),
+links AS (SELECT key, CAST(unnest(range(len({_ANCHORS.replace('html', 'p.html')}))) AS INTEGER) AS pos, unnest({_ANCHORS.replace('html', 'p.html')}) AS href FROM store),
+v0 AS (SELECT DISTINCT url AS seed, registered AS identifier, registered AS site, url, {_key('url')} AS key, 0 AS rank, 0 AS level, true AS followed FROM dom_s),
+{_crawl_level(1)},
+{_crawl_level(2)},
+v AS (SELECT seed, identifier, site, url, key, rank, level FROM v0 WHERE followed UNION ALL SELECT seed, identifier, site, url, key, rank, level FROM v1 WHERE followed UNION ALL SELECT seed, identifier, site, url, key, rank, level FROM v2 WHERE followed),
+a AS (SELECT v.*, CASE WHEN s.key IS NULL THEN '404' ELSE '200' END AS status FROM v LEFT JOIN store s ON s.key = v.key)
+SELECT site AS domain, identifier, CAST(level AS INTEGER) AS level, CAST(rank AS BIGINT) AS rank, url, status, '2024-01-31' AS session_date, '2024-01-31 00:00:00' AS crawl_date,
+ CASE WHEN status = '200' THEN replace(site || '/' || regexp_replace({_x('url', 4)}, 'www\\.', '', 'g') || '/2024-01-31/' || CASE WHEN string_split(regexp_replace(url, '/$', ''), '/')[-1] = '' THEN 'index' ELSE string_split(regexp_replace(url, '/$', ''), '/')[-1] END, ' ', '_') END AS path FROM a"""
+)
 def q_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crawl of the page store from its own pages."""
     pages = T.table(spark, sf_dir, "pages")
-    return B.crawl(pages.select("url", F.lit(None).cast("string").alias("identifier")), pages, "2024-01-31", B.CrawlConfig(suffixes=SUFFIXES))
+    return B.crawl(pages.select("url", F.lit(None).cast("string").alias("identifier")), pages, "2024-01-31", B.CrawlConfig(suffixes=SUFFIXES)).drop("seed")
 
 
 def _as_fetched(pages: DataFrame) -> DataFrame:

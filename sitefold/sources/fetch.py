@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import email.utils
+import functools
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -10,7 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.robots import RULES, parse_robots
+from ..functions.urls import authority, with_scheme
+from ..shared import new_path
+from ..streaming.crawl_stream import wait_step
+
 SCHEMA = "url string, status string, html string, retry_after string"
+FAILED = "Base URL crawl failed"
 AGENT = "Mozilla/5.0 (compatible; sitefold)"
 
 
@@ -51,20 +60,87 @@ def attempts(url: str, ask: Callable[[str], tuple], wait: Callable[[float], None
     return answer, errors
 
 
-def fetched(urls: DataFrame, domain: str = "domain", timeout: float = 180.0, pause: float = 0.35) -> DataFrame:
+def domain_answers(urls: list[str], ask: Callable[[str], tuple], sleep: Callable[[float], None], level: int = 0, known: bool = False) -> Iterator[tuple]:
+    """The answers of one domain's URLs, one after another. The wait between them follows what the domain answers: longer after
+    refusals and failures, slowly shorter otherwise. What goes wrong besides a request ends in an answer too."""
+    wait, errors = 0.0 if level == 0 or known else 0.35, 0
+    for u in urls:
+        try:
+            answer, errors = attempts(u, ask, sleep, wait, errors=errors)
+        except Exception as e:  # one bad URL mustn't end the domain's crawl
+            answer = (u, FAILED, None, f"One base URL: {e}")
+        wait = wait_step(wait, answer[1], seconds_of(answer[3]))
+        yield answer
+
+
+def seconds_of(header: str | None) -> float | None:
+    """Seconds of a Retry-After header: a number, or a date's distance from now."""
+    text = (header or "").strip()
+    if text.isdigit():
+        return float(text)
+    try:
+        return max(0.0, email.utils.parsedate_to_datetime(text).timestamp() - time.time())
+    except (TypeError, ValueError):
+        return None
+
+
+def fetched(urls: DataFrame, domain: str = "domain", ask: Callable[[str], tuple] | None = None, sleep: Callable[[float], None] = time.sleep, level: int = 0) -> DataFrame:
     """The answers to urls (url, and their domain). A domain's URLs are asked one after another by one task, different
     domains' in parallel; rows leave as they come."""
+    get = ask or fetch
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        import time
+        now, mine = None, []
 
-        errors: dict[str, int] = {}
-        for b in batches:
-            for d, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                answer, errors[d] = attempts(u, lambda x: fetch(x, timeout), time.sleep, pause, errors=errors.get(d, 0))
+        def answers():
+            for answer in domain_answers(mine, get, sleep, level):
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in answer], names=["url", "status", "html", "retry_after"])
 
-    return urls.select(domain, "url").repartition(domain).sortWithinPartitions(domain).mapInArrow(run, SCHEMA)
+        for b in batches:
+            for d, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if d != now and mine:
+                    yield from answers()
+                    mine = []
+                now = d
+                mine.append(u)
+        yield from answers()
+
+    return urls.select(domain, "url").repartition(domain).sortWithinPartitions(domain, "url").mapInArrow(run, SCHEMA)
+
+
+class Fetcher:
+    """Fetches the pages of a crawl, level by level, and keeps the answers in the shared folder, so that nothing is asked twice
+    however often a plan reads them. ask and sleep can be replaced, as in tests."""
+
+    def __init__(self, timeout: float = 180.0, ask: Callable[[str], tuple] | None = None, sleep: Callable[[float], None] = time.sleep):
+        self.ask = ask or functools.partial(fetch, timeout=timeout)
+        self.sleep = sleep
+        self.answers: list[DataFrame] = []
+
+    def fetch(self, urls: DataFrame, level: int) -> DataFrame:
+        spark = urls.sparkSession
+        path = new_path(spark, "fetched")
+        fetched(urls, ask=self.ask, sleep=self.sleep, level=level).write.option("compression", "zstd").parquet(path)
+        self.answers.append(spark.read.schema(SCHEMA).parquet(path))
+        return self.answers[-1]
+
+    def robots(self, seeds: DataFrame) -> DataFrame:
+        """host, allow, pattern of the seeds' hosts, each asked once."""
+        ask, sleep = self.ask, self.sleep
+
+        def run(batches):
+            for b in batches:
+                rows = [(h, fetch_robots(f"https://{h}", ask, sleep)[1]) for h in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["host", "body"])
+
+        hosts = seeds.select(authority(with_scheme("url")).alias("host")).where("host <> ''").distinct()
+        path = new_path(seeds.sparkSession, "robots")
+        parse_robots(hosts.mapInArrow(run, "host string, body string")).write.parquet(path)
+        return seeds.sparkSession.read.schema(RULES).parquet(path)
+
+    def pages(self) -> DataFrame | None:
+        """url, status, html of everything that was fetched."""
+        return functools.reduce(DataFrame.unionByName, self.answers).select("url", "status", "html") if self.answers else None
 
 
 class PageSource(DataSource):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,17 @@ def latest_file(spark: SparkSession, folder: str) -> str:
     return max(found, key=lambda s: s.getModificationTime()).getPath().toString()
 
 
+def latest_run(spark: SparkSession, folder: str) -> str:
+    """What to consolidate of a folder of extracted records: its newest .ndjson file, or its newest run_date=... folder."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s for s in (fs.listStatus(root) if fs.exists(root) else []) if s.isDirectory() and s.getPath().getName().startswith("run_date=") or s.isFile() and s.getPath().getName().endswith(".ndjson")]
+    if not found:
+        raise FileNotFoundError(f"no extracted records in {folder}")
+    return max(found, key=lambda s: (s.getModificationTime(), s.getPath().getName())).getPath().toString()
+
+
 def output_path(output: str | None = None, default: str | None = None, target_folder: str | None = None, source: str | None = None) -> str:
     """Where consolidated records go: as asked for, the default, below the target folder, or beside the extracted ones."""
     if output or default:
@@ -58,7 +70,23 @@ def output_path(output: str | None = None, default: str | None = None, target_fo
 
 
 def write_consolidated(records: DataFrame, path: str) -> None:
-    """One JSON object a domain, in order of the domains; null fields are written too."""
+    """One file with one JSON object a domain, in order of the domains; null fields are written too. The parts are sorted and
+    written in parallel below another name, then joined into the file as they are; without records it is empty."""
+    spark = records.sparkSession
     line = F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"})
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    parts = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_{target.getName()}-{uuid.uuid4().hex}")
     # a range sort keeps the order over files; their names follow it
-    records.orderBy("domain").select(line.alias("value")).write.mode("overwrite").text(path)
+    records.orderBy("domain").select(line.alias("value")).write.text(parts.toString())
+    whole = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_{target.getName()}-{uuid.uuid4().hex}")
+    out = fs.create(whole, True)
+    for p in sorted(s.getPath().toString() for s in fs.listStatus(parts) if s.getPath().getName().startswith("part-")):
+        source = fs.open(jvm.org.apache.hadoop.fs.Path(p))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+        source.close()
+    out.close()
+    fs.delete(target, True)
+    fs.rename(whole, target)
+    fs.delete(parts, True)

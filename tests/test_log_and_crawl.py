@@ -121,6 +121,50 @@ def test_crawl_over_a_store(spark):
     assert C.crawl(s, store, DAY, log=log(spark, [("https://a.nl/", "i", 0, "200", DAY)])).where("url like '%a.nl%'").count() == 0
 
 
+def test_crawl_takes_one_page_of_a_clean_url(spark):
+    """Whatever partitions the store has, the same of several pages counts, on every level and in the log."""
+    rows = [("https://www.a.nl/", '<a href="/x1">'), ("http://a.nl/", '<a href="/x2">'), ("http://a.nl/", '<a href="/x3">'), ("http://a.nl/x2", ""), ("https://b.nl", "not asked for")]
+    s = spark.createDataFrame([("https://a.nl/", "i")], "url string, identifier string")
+    got = {tuple(sorted((r.level, r.url, r.status) for r in C.crawl(s, spark.createDataFrame(rows, "url string, html string").repartition(n), DAY, C.CrawlConfig(max_level=2)).collect())) for n in (1, 4)}
+    assert len(got) == 1 and len(next(iter(got))) == 2
+    store = spark.createDataFrame([("https://a.nl/", "<![foo[x]]><a href=/y1>", 200), ("https://a.nl/y1", None, 503)], "url string, html string, status int")
+    assert sorted((r.url, r.status, r.path is None) for r in C.crawl(s, store, DAY).collect()) == [("https://a.nl/", "200", False), ("https://a.nl/y1", "503", True)]
+    plan = C.crawl(s, store, DAY)._jdf.queryExecution().executedPlan().toString()
+    assert "html" not in plan
+
+
+SITE = {
+    "https://a.nl/robots.txt": ("200", "User-agent: *\nDisallow: /secret"), "https://a.nl": ("200", '<a href="/contact">c</a><a href="/secret">s</a><a href="/team">t</a>'), "https://a.nl/contact": ("200", "<p>1234 AB</p>"),
+    "https://a.nl/team": ("503", None), "https://slow.nl": ("Request timeout", None), "https://odd.nl": ("raise", None),
+}
+
+
+def ask_site(url):
+    status, body = SITE.get(url, ("404", None))
+    if status == "raise":
+        raise RuntimeError("no such thing")
+    return url, status, body if status == "200" else None, None
+
+
+def test_crawl_over_the_network(spark):
+    s = spark.createDataFrame([("a.nl", "1"), ("https://slow.nl", "2"), ("https://odd.nl", "3"), ("https:///x", "4")], "url string, identifier string")
+    net = fetch.Fetcher(ask=ask_site, sleep=lambda seconds: None)
+    robots = net.robots(s)
+    assert {(r.host, r.pattern) for r in robots.collect()} == {("a.nl", "/secret")}
+    got = {(r.level, r.url, r.status) for r in C.crawl(s, net, DAY, robots=robots).collect()}
+    assert got == {(0, "https://a.nl", "200"), (1, "https://a.nl/contact", "200"), (1, "https://a.nl/team", "503"), (0, "https://slow.nl", "Request timeout"), (0, "https://odd.nl", fetch.FAILED), (0, "https:///x", C.NO_SITE)}
+    assert {r.url for r in net.pages().where("html is not null").collect()} == {"https://a.nl", "https://a.nl/contact"}
+    assert O.complement(log(spark, [("https:///x", "4", 0, C.NO_SITE, DAY), ("https://slow.nl", "2", 0, "Request timeout", DAY)]), DAY).count() == 1
+
+
+def test_waits_follow_a_domain_s_answers():
+    answers = iter([("a", "429", None, "7"), ("b", "200", "x", None), ("c", "403", None, None), ("d", "200", "x", None)])
+    pauses = []
+    got = list(fetch.domain_answers(list("abcd"), lambda u: next(answers), pauses.append, level=1))
+    assert [g[1] for g in got] == ["429", "200", "403", "200"] and pauses == pytest.approx([0.35, 7.0, 5.95, 5.95 * 1.6 + 0.25])
+    assert fetch.seconds_of("7") == 7 and fetch.seconds_of("soon") is None and fetch.seconds_of("Mon, 01 Jan 2024 00:00:00 GMT") == 0
+
+
 def test_subdomains_and_strict_hosts(spark):
     links = spark.createDataFrame([("https://blog.x.nl/a", 0, "https://blog.x.nl/b"), ("https://blog.x.nl/a", 1, "https://y.nl")], "src_url string, pos int, dst_url string")
     assert L.within_domain(links).count() == 1 and L.within_domain(links, strict_host=True).count() == 0

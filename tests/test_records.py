@@ -150,7 +150,9 @@ def test_ndjson_round_trip(spark, tmp_path):
     assert [(x.domain, x.phone) for x in back] == [("a.nl", ["1"]), ("b.nl", None)]
     final = str(tmp_path / "out")
     ndjson.write_consolidated(C.consolidated(records(spark, ROWS)), final)
-    assert [json.loads(r[0])["domain"] for r in spark.read.text(final).collect()] == ["a.co.uk", "b.nl"]
+    assert [json.loads(x)["domain"] for x in (tmp_path / "out").read_text().splitlines()] == ["a.co.uk", "b.nl"]
+    ndjson.write_consolidated(C.consolidated(records(spark, ROWS).limit(0)), final)
+    assert (tmp_path / "out").read_text() == "" and not [p for p in tmp_path.iterdir() if p.name.startswith("_out")]
     (tmp_path / "newer.ndjson").write_text("")
     import os
 
@@ -246,6 +248,36 @@ def test_command_line(spark, tmp_path, capsys):
     run("extract", "--contacts", "--start-date", "2024-01-01", "--end-date", "2024-01-31")
     run("consolidate", "--output", str(tmp_path / "o"))
     run("config")
-    out = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "o")).collect()]
+    out = [json.loads(x) for x in (tmp_path / "o").read_text().splitlines()]
     assert out[0]["domain"] == "a.nl" and out[0]["identifier"] == "7" and out[0]["zipcode"] == {"6581 KZ": 1}
     assert run("restore", str(tmp_path / "nowhere")) == 1
+    # without a database the log is a tab-separated one; records are written at once, and only the latest run is consolidated
+    f = str(tmp_path / "j")
+    run("init", str(tmp_path / "u"), "--source", str(seeds), "--no-database")
+    with pytest.raises(SystemExit):
+        run("crawl", "--pages", store, "--complement", "2024-01-05")
+    for day in ("2024-01-05", "2024-03-05"):
+        run("crawl", "--pages", store, "--date", day, "--max-level", "1", "--extract", "--contacts")
+    assert (tmp_path / "u" / "overview_tsv").is_dir() and not (tmp_path / "u" / "crawled_data").exists()
+    run("consolidate")
+    out = [json.loads(x) for x in (tmp_path / "u" / "consolidated_data" / "consolidated.ndjson").read_text().splitlines()]
+    assert out[0]["zipcode"] == {"6581 KZ": 1}
+    assert run("crawl", "--pages", store, "--date", "2024-03-06", "--complement", "2024-03-05") == 0
+    run("config")
+    assert "storage csv" in capsys.readouterr().out
+
+
+def test_package_exports():
+    import sitefold
+
+    assert sitefold.extract is E.extract and "crawl" in sitefold.__all__
+    with pytest.raises(AttributeError):
+        sitefold.nothing
+
+
+def test_log_table(spark, tmp_path):
+    overview_log.create_log(spark, "own_log", f"file://{tmp_path}/own_log")
+    spark.sql("INSERT INTO own_log (domain, url, status, session_date) VALUES ('a.nl', 'u', '200', '2024-01-01'), ('a.nl', 'v', '500', '2024-01-01')")
+    rows, seen = overview_log.observed(spark.table("own_log"))
+    assert rows.count() == 2 and seen.get == {"pages": 2, "errors": 1}
+    spark.sql("DROP TABLE own_log")
