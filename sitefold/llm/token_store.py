@@ -38,10 +38,11 @@ def cuts(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
-    g = _GEAR[ids & 0x3FFFF]
-    h = g.copy()
-    for k in range(1, WINDOW):
-        h[k:] += g[:-k] << np.uint64(k)
+    h, k = _GEAR[ids & 0x3FFFF], 1
+    while k < WINDOW:  # sums over 1, 2, 4, ... ids, each doubled once for every id after it
+        longer = h.copy()
+        longer[k:] += h[:-k] << np.uint64(k)
+        h, k = longer, 2 * k
     # the high bits hold all of the window
     marks = np.flatnonzero((h >> np.uint64(WINDOW)) & np.uint64((1 << MASK_BITS) - 1) == (1 << MASK_BITS) - 1) + 1
     out, last = [], 0
@@ -60,27 +61,51 @@ def name_of(payload: bytes) -> bytes:
 
 
 PRIMES, BASES = (2147483629, 2147483587), (1000003, 998244353)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def digest(ids: np.ndarray) -> list[int]:
-    """Polynomials of an id stream modulo PRIMES."""
-    out = []
-    for k, (p, b) in enumerate(zip(PRIMES, BASES)):
-        while len(_powers[k]) < len(ids):
-            n = len(_powers[k])
-            _powers[k] = np.concatenate([_powers[k], _powers[k] * np.uint64(pow(b, n, p)) % np.uint64(p)])
-        # the first id has the highest power
-        terms = (ids.astype(np.uint64) + np.uint64(1)) * _powers[k][: len(ids)][::-1] % np.uint64(p)
-        out.append(int(terms.sum() % np.uint64(p)))
+
+
+def powers(k: int, exponents: np.ndarray) -> np.ndarray:
+    """BASES[k] to the power of each exponent, modulo PRIMES[k]."""
+    p, out = np.uint64(PRIMES[k]), np.ones(len(exponents), np.uint64)
+    left, base = exponents.astype(np.uint64), BASES[k]
+    while left.any():
+        out = np.where(left & np.uint64(1), out * np.uint64(base) % p, out)
+        left, base = left >> np.uint64(1), base * base % PRIMES[k]
+    return out
+
+
+_tables: dict[int, np.ndarray] = {}
+
+
+def digests(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomials modulo PRIMES of id streams that lie one after another, the first id with the highest power (columns: primes)."""
+    size = np.diff(ends, prepend=0)
+    out = np.zeros((len(ends), len(PRIMES)), np.int64)
+    most = int(size.max(initial=0))
+    there = np.flatnonzero(size)
+    if not len(there):
+        return out
+    # ids that follow in the same stream
+    after = np.repeat(ends, size) - 1 - np.arange(len(ids))
+    for k, p in enumerate(PRIMES):
+        if k not in _tables or len(_tables[k]) < most:
+            _tables[k] = powers(k, np.arange(max(most, MOST + 1)))
+        terms = (ids.astype(np.uint64) + np.uint64(1)) * _tables[k][after] % np.uint64(p)
+        out[there, k] = np.add.reduceat(terms, (ends - size)[there]) % np.uint64(p)
     return out
 
 
-def joined_digest(parts: list[tuple[int, int, int]]) -> list[int]:
-    """The digest of streams one after another, from their lengths and digests."""
-    out = [0, 0]
-    for n, *d in parts:
-        out = [(h * pow(b, n, p) + x) % p for h, x, b, p in zip(out, d, BASES, PRIMES)]
+def joined_digests(size: np.ndarray, parts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The digests of streams whose parts lie one after another, from the parts' lengths and digests."""
+    count = np.diff(ends, prepend=0)
+    out = np.zeros((len(ends), len(PRIMES)), np.int64)
+    there = np.flatnonzero(count)
+    if not len(there):
+        return out
+    total = np.concatenate([[0], np.cumsum(size)])
+    after = np.repeat(total[ends], count) - total[1:]
+    for k, p in enumerate(PRIMES):
+        terms = parts[:, k].astype(np.uint64) * powers(k, after) % np.uint64(p)
+        out[there, k] = np.add.reduceat(terms, (ends - count)[there]) % np.uint64(p)
     return out
 
 
@@ -108,8 +133,10 @@ def build(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, doc_id: str
         for b in batches:
             n, step = b.column(0), K.SLICE
             for a, texts in K.slices(b.column(2), lower=False):
-                size, sums, recipe, root, names, payloads = [], [], [], [], [], []
-                for t, ids in zip(texts, encoder.encode(texts)):
+                size, recipe, root, names, payloads = [], [], [], [], []
+                streams = encoder.encode(texts)
+                sums = digests(np.concatenate([np.zeros(0, np.uint32), *streams]), np.cumsum([len(x) for x in streams], dtype=np.int64)).tolist()
+                for t, ids in zip(texts, streams):
                     raw, last, mine = ids.astype(kind).tobytes(), 0, []
                     width = kind().itemsize
                     for c in cuts(ids):
@@ -122,7 +149,6 @@ def build(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, doc_id: str
                             names.append(x)
                             payloads.append(p)
                     size.append(None if t is None else len(ids))
-                    sums.append(digest(ids))
                     recipe.append(mine)
                     root.append(merkle_root(mine))
                 d, c = len(size), len(names)
@@ -141,7 +167,7 @@ def build(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, doc_id: str
     rows.mapInArrow(chunk, schema).write.partitionBy("kind").option("compression", "zstd").parquet(staged)
     every = spark.read.schema(schema).parquet(staged)
     # a chunk's place in the staged files, which are written once and don't change
-    chunks = every.where("kind = 'chunks'").select("name", "payload", F.concat_ws(":", F.xxhash64(F.col("_metadata.file_path")), F.col("_metadata.row_index")).alias("at"))
+    chunks = every.where("kind = 'chunks'").select("name", "payload", F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("at"))
     again = chunks.groupBy("name").agg(F.count("*").alias("c"), F.min("at").alias("first")).where("c > 1").select("name", "first")
     first = small_or_shuffled(again)
     kept = chunks.join(first, "name", "left").where("first is null or first = at").select("name", "payload")
@@ -160,10 +186,12 @@ def verify(spark: SparkSession, path: str, vocabulary: str = VOCABULARY, id_type
 
     def right(batches):
         for b in batches:
-            names, payloads = b.column(0).to_pylist(), b.column(1).to_pylist()
-            ids = [np.frombuffer(p, kind) for p in payloads]
-            d = [digest(x) for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), *(pa.array([x[k] for x in d], pa.int64()) for k in (0, 1)), pa.array([name_of(p) == x for x, p in zip(names, payloads)])], names=["name", "size", "d0", "d1", "ok"])
+            for a in range(0, max(b.num_rows, 1), 4096):
+                part = b.slice(a, 4096)
+                names, payloads = part.column(0).to_pylist(), part.column(1).to_pylist()
+                size = np.array([len(p) // kind().itemsize for p in payloads], np.int64)
+                d = digests(np.frombuffer(b"".join(p[: len(p) // kind().itemsize * kind().itemsize] for p in payloads), kind), np.cumsum(size))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([name_of(p) == x for x, p in zip(names, payloads)], pa.bool_())], names=["name", "size", "d0", "d1", "ok"])
 
     def rooted(batches):
         for b in batches:
@@ -172,8 +200,10 @@ def verify(spark: SparkSession, path: str, vocabulary: str = VOCABULARY, id_type
 
     def joined(batches):
         for b in batches:
-            d = [joined_digest([(x["size"], x["d0"], x["d1"]) for x in p]) for p in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(d, pa.list_(pa.int64()))], names=["n", "there", "size", "joined"])
+            lists = b.column(1)
+            size, *d = (lists.flatten().field(k).to_numpy() for k in ("size", "d0", "d1"))
+            found = joined_digests(size, np.stack(d, 1), np.cumsum(np.diff(lists.offsets.to_numpy())).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(found.tolist(), pa.list_(pa.int64()))], names=["n", "there", "size", "joined"])
 
     docs = recipes(spark, path, id_type)
     store = spark.read.parquet(f"{path}/chunks").mapInArrow(right, "name binary, size long, d0 long, d1 long, ok boolean")

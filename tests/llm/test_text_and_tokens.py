@@ -137,7 +137,20 @@ def test_a_recipe_that_lacks_or_swaps_a_chunk_is_noticed(spark):
         spark.read.parquet(f"{path}/chunks").write.parquet(f"{other}/chunks")
         assert [r.verified for r in S.verify(spark, other).collect()] == [False]
     ids = np.random.default_rng(2).integers(0, 50000, 5000).astype(np.uint32)
-    assert S.joined_digest([(len(x), *S.digest(x)) for x in np.split(ids, [0, 7, 4000])]) == S.digest(ids)
+    ends = np.array([0, 7, 7, 4000, 5000])
+
+    def by_hand(x):
+        out = []
+        for p, b in zip(S.PRIMES, S.BASES):
+            h = 0
+            for i in x.tolist():
+                h = (h * b + i + 1) % p
+            out.append(h)
+        return out
+
+    parts = S.digests(ids, ends)
+    assert parts.tolist() == [by_hand(x) for x in np.split(ids, ends)[:-1]]
+    assert S.joined_digests(np.diff(ends, prepend=0), parts, np.array([0, 2, 5])).tolist() == [[0, 0], by_hand(ids[:7]), by_hand(ids[7:])]
 
 
 def test_names_as_ids(spark):
