@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,18 +26,20 @@ from . import derived as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+_SQL: dict[str, str | Callable[[], str]] = {}
 
 #: Suffix rules that the SQL can hold; queries with SQL use them instead of the whole list.
 SUFFIXES = D.SuffixRules(frozenset({"com", "net", "org", "nl", "uk", "co.uk", "ac.uk", "jp"}), frozenset({"kobe.jp", "ck"}), frozenset({"city.kobe.jp", "www.ck"}))
 SPLIT = r"(?s)^(([A-Za-z][A-Za-z0-9+.\-]*):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?$"
 
 
-def _query(sql: str | None = None) -> Callable[[Query], Query]:
+def _query(sql: str | Callable[[], str] | None = None) -> Callable[[Query], Query]:
+    """Registers a query with its SQL, or with what makes it once it is asked for."""
+
     def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql:
-            _SQL[f.__name__] = sql.strip()
+            _SQL[f.__name__] = sql if callable(sql) else sql.strip()
         return f
 
     return add
@@ -140,7 +143,20 @@ def q_clean_domain_psl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hosts(spark, sf_dir).select("id", D.clean_domain("url", SUFFIXES).alias("clean"))
 
 
-@_query()
+def _full_list_sql() -> str:
+    """The whole list as a table of each kind of rule, joined to every tail of a host."""
+    rules = D.default_rules()
+    kinds = ", ".join(f"{name} AS (SELECT unnest({_list(of)}) AS r)" for name, of in (("plain", rules.plain), ("wild", rules.wild), ("exc", rules.exceptions)))
+    tail = lambda i: f"array_to_string(list_slice(fl, {i}, len(fl)), '.')"
+    return f"""WITH {_HOSTS}, {kinds}, h AS (SELECT *, {_sql_host('url')} AS full_host FROM p),
+h2 AS (SELECT *, [x FOR x IN string_split(full_host, '.') IF x <> ''] AS fl, [x FOR x IN string_split(replace(full_host, 'www.', ''), '.') IF x <> ''] AS labels FROM h),
+c AS (SELECT id, i, {tail('i')} AS tail, CASE WHEN i < len(fl) THEN {tail('i + 1')} END AS parent FROM (SELECT id, fl, unnest(range(1, len(fl) + 1)) AS i FROM h2)),
+m AS (SELECT id, min(i) FILTER (WHERE exc.r IS NOT NULL) AS e, min(i) FILTER (WHERE plain.r IS NOT NULL OR wild.r IS NOT NULL) AS first FROM c LEFT JOIN plain ON plain.r = tail LEFT JOIN wild ON wild.r = parent LEFT JOIN exc ON exc.r = tail GROUP BY id),
+s AS (SELECT h2.*, coalesce(e + 1, first) AS sfx FROM h2 LEFT JOIN m USING (id))
+SELECT id, coalesce(CASE WHEN sfx > 1 THEN {tail('sfx - 1')} END, CASE WHEN {_DIGITS} THEN array_to_string(labels, '.') WHEN len(labels) >= 2 THEN {_TAIL} ELSE replace(full_host, 'www.', '') END) AS clean FROM s"""
+
+
+@_query(_full_list_sql)
 def q_clean_domain_full_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the whole public suffix list."""
     return _hosts(spark, sf_dir).select("id", D.clean_domain("url").alias("clean"))
@@ -276,10 +292,22 @@ def q_link_graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.edges(T.table(spark, sf_dir, "pages")).groupBy("dst_url").agg(F.count("*").alias("links"), F.countDistinct("src_url").alias("pages"))
 
 
-@_query("""SELECT page_id, regexp_extract(html, '<meta charset="([^"]*)"', 1) AS encoding FROM pages""")
+_META = list(enumerate(sorted(X.META_NAMES)))
+_META_ROWS = ", ".join(f"({i}, '{name}')" for i, name in _META)
+
+
+@_query(
+    f"""WITH n(i, name) AS (VALUES {_META_ROWS}), m AS (SELECT page_id, 'meta_encoding' AS k, regexp_extract(html, '<meta charset="([^"]*)"', 1) AS v FROM pages
+UNION ALL SELECT page_id, 'meta_' || name, CASE WHEN i = 0 THEN 'last' ELSE 'é' || i || '-' || page_id END FROM pages, n WHERE (i = 0 OR (page_id + i) % 3 <> 0) AND NOT (name = 'encoding' AND contains(html, '<meta charset="')))
+SELECT page_id, string_agg(k || '=' || v, ';' ORDER BY k) AS meta FROM m WHERE v <> '' GROUP BY page_id"""
+)
 def q_meta_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = E.tokenized(T.table(spark, sf_dir, "pages").select("page_id", "url", "html"), {})
-    return t.select("page_id", F.try_element_at("meta", F.lit("meta_encoding")).alias("encoding"))
+    """Pages with about two thirds of the known tags in front, an unknown one, and one that comes twice."""
+    k = F.col("page_id")
+    tags = [F.when((k + i) % 3 != 0, F.concat(F.lit(f'<meta {"property" if i % 2 else "name"}="{name}" content="&eacute;{i}-'), k.cast("string"), F.lit('"/>'))).otherwise("") for i, name in _META]
+    html = F.concat(*tags, F.lit(f'<meta name="unknown" content="x"><meta name="{_META[1][1]}"><META NAME="{_META[0][1]}" content="last">'), "html")
+    t = E.tokenized(T.table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html")), {})
+    return t.select("page_id", F.array_join(F.transform(F.array_sort(F.map_entries("meta")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("meta"))
 
 
 _PLAIN = r"""s1 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script>.*?</script>', chr(1), 'g'), '(?s)<style>.*?</style>', chr(1), 'g'), '(?s)<!--.*?-->', chr(1), 'g') AS h FROM pages),
@@ -293,7 +321,19 @@ def q_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.tokenized(T.table(spark, sf_dir, "pages").select("page_id", "url", "html"), {}).select("page_id", F.col("raw_text").alias("text"))
 
 
-@_query()
+def _nfkd_sql(text: str) -> str:
+    """The compatibility form of a text, letter by letter of the Latin blocks and some signs; DuckDB has no function for it."""
+    for c in map(chr, [*range(0xA0, 0x250), 0x2026, 0x2122, *range(0xFB00, 0xFB05)]):
+        plain = unicodedata.normalize("NFKD", c)
+        if plain != c:
+            text = f"replace({text}, '{c}', '{plain}')"
+    return text
+
+
+_PAGE_TEXT = "array_to_string([x FOR x IN parts IF x <> ''], chr(10))"
+
+
+@_query(lambda: f"WITH {_PLAIN} SELECT page_id, {_nfkd_sql(_PAGE_TEXT)} AS text FROM s4")
 def q_page_text_nfkd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.tokenized(T.table(spark, sf_dir, "pages").select("page_id", "url", "html"), {}).select("page_id", F.col("html_text").alias("text"))
 
@@ -359,6 +399,28 @@ def q_annual_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "pages").select("page_id", F.explode(X.report_links(F.array(href), "url")).alias("report"))
 
 
+_SHOP = "<html><head><title>Shop</title><style>p{}</style></head><body><!-- no --><p>", "</p></body></html>"
+
+
+def _shop_sql() -> str:
+    """The field queries, over pages' text or source instead of plain texts."""
+    text = f"{T.CONTACTS.replace('t AS', 'plain AS', 1)}, t AS (SELECT id, 'Shop' || chr(10) || txt AS txt FROM plain)"
+    source = f"{T.CONTACTS.replace('t AS', 'plain AS', 1)}, t AS (SELECT id, '{_SHOP[0]}' || replace(txt, chr(10), '</p><p>') || '{_SHOP[1]}' AS txt FROM plain)"
+    of = {"zipcode": ("q_zipcodes", text), "address": ("q_address", text), "kvk": ("q_kvk", text), "btw": ("q_btw", text), "phone": ("q_phone", source), "email": ("q_email", source), "fax": ("q_fax", source)}
+    return " UNION ALL ".join(f"SELECT id, '{f}' AS field, {f} AS value FROM ({_SQL[q].replace(T.CONTACTS, where)})" for f, (q, where) in of.items())
+
+
+@_query(_shop_sql)
+def q_contact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of pages made of the customers' texts, through the page reader."""
+    html = F.concat(F.lit(_SHOP[0]), F.replace("txt", F.lit("\n"), F.lit("</p><p>")), F.lit(_SHOP[1]))
+    pages = T.contact_text(spark, sf_dir).select(F.lit("example.com").alias("domain"), F.col("id").cast("string").alias("identifier"), F.lit(0).alias("level"), F.lit("https://example.com/").alias("url"), F.lit("2024-01-31").alias("session_date"), F.lit("x").alias("path"), html.alias("html"))
+    found = E.extract(pages, E.contact_fields())
+    named = lambda f: F.transform(f, lambda v: F.struct(F.lit(f).alias("field"), v.alias("value")))
+    rows = found.select(F.col("identifier").cast("long").alias("id"), F.explode(F.flatten(F.array(*map(named, C.FIELDS)))).alias("p"))
+    return rows.select("id", "p.field", "p.value")
+
+
 # --- consolidation
 
 _CLEAN = f"{T.RECORDS}, {_sql_domains('pg', 'domain')}, cp AS (SELECT clean AS domain, identifier, text, ord, zipcode, phone, email FROM dom)"
@@ -398,27 +460,32 @@ def q_main_zipcode(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- crawling
 
 
-def _level_sql(k: int) -> str:
-    seen = " UNION ALL ".join(f"SELECT url FROM l{i}" for i in range(k))
-    return f"""c{k} AS (SELECT dst_url AS url, min(l{k - 1}.rank * 1000000000 + pos) AS place FROM l{k - 1} JOIN e ON e.src_url = l{k - 1}.url WHERE dst_url NOT IN ({seen}) GROUP BY dst_url),
-r{k} AS (SELECT url, row_number() OVER (ORDER BY place) AS rank FROM c{k})"""
+def _level_sql(k: int, budget: int | None = None) -> str:
+    seen = " UNION ALL ".join(f"SELECT seed, url FROM l{i}" for i in range(k))
+    quota = f" JOIN (SELECT seed, count(*) AS used FROM ({seen}) GROUP BY seed) u USING (seed) WHERE used < {budget} AND rank <= {budget} - used + 1" if budget else ""
+    return f"""c{k} AS (SELECT l.seed, dst_url AS url, min(l.rank * 1000000000 + pos) AS place FROM l{k - 1} l JOIN e ON e.src_url = l.url WHERE NOT EXISTS (SELECT 1 FROM ({seen}) o WHERE o.seed = l.seed AND o.url = dst_url) GROUP BY ALL),
+r{k} AS (SELECT seed, url, row_number() OVER (PARTITION BY seed ORDER BY place) AS rank FROM c{k}), l{k} AS (SELECT r{k}.seed, url, rank FROM r{k}{quota})"""
 
 
-_BFS0 = "l0 AS (SELECT 'https://www.example.com/n1' AS url, CAST(0 AS BIGINT) AS rank)"
+def _bfs_sql(budget: int | None = None) -> str:
+    start = "l0 AS (SELECT s_suppkey AS seed, 'https://www.example.com/n' || s_suppkey AS url, CAST(0 AS BIGINT) AS rank FROM supplier)"
+    return f"WITH {T.EDGES}, {start}, {_level_sql(1, budget)}, {_level_sql(2, budget)} " + " UNION ALL ".join(f"SELECT {k} AS level, seed, url, rank FROM l{k}" for k in range(3))
 
 
-@_query(f"WITH {T.EDGES}, {_BFS0}, {_level_sql(1)}, l1 AS (SELECT * FROM r1), {_level_sql(2)}, l2 AS (SELECT * FROM r2) SELECT 0 AS level, url, rank FROM l0 UNION ALL SELECT 1, url, rank FROM l1 UNION ALL SELECT 2, url, rank FROM l2")
+def _bfs(spark: SparkSession, sf_dir: str, budget: int | None = None) -> DataFrame:
+    n = F.col("s_suppkey")
+    seeds = T.table(spark, sf_dir, "supplier").select(n.alias("seed"), F.concat(F.lit("https://www.example.com/n"), n.cast("string")).alias("url"))
+    return B.bfs(seeds, T.link_graph(spark, sf_dir), 3, budget).select("level", "seed", "url", "rank")
+
+
+@_query(_bfs_sql())
 def q_bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = spark.createDataFrame([(1, "https://www.example.com/n1")], "seed long, url string")
-    return B.bfs(seeds, T.link_graph(spark, sf_dir), 3).select("level", "url", "rank")
+    return _bfs(spark, sf_dir)
 
 
-@_query(
-    f"WITH {T.EDGES}, {_BFS0}, {_level_sql(1)}, l1 AS (SELECT * FROM r1 WHERE rank <= 50 - 1 + 1), {_level_sql(2)}, u AS (SELECT (SELECT count(*) FROM l0) + (SELECT count(*) FROM l1) AS used), l2 AS (SELECT r2.* FROM r2, u WHERE used < 50 AND rank <= 50 - used + 1) SELECT 0 AS level, url, rank FROM l0 UNION ALL SELECT 1, url, rank FROM l1 UNION ALL SELECT 2, url, rank FROM l2"
-)
+@_query(_bfs_sql(50))
 def q_bfs_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = spark.createDataFrame([(1, "https://www.example.com/n1")], "seed long, url string")
-    return B.bfs(seeds, T.link_graph(spark, sf_dir), 3, 50).select("level", "url", "rank")
+    return _bfs(spark, sf_dir, 50)
 
 
 _ROBOTS = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /en/  # most\nAllow: /en/1*5\nDisallow: /*.html$\nAllow: /en/1*7.html$\n"
@@ -482,13 +549,20 @@ def _as_fetched(pages: DataFrame) -> DataFrame:
     return pages.select(D.registered_domain("url", SUFFIXES).alias("domain"), F.col("page_id").cast("string").alias("identifier"), F.lit(0).alias("level"), "url", F.lit("2024-01-31").alias("session_date"), F.lit("x").alias("path"), "html")
 
 
-@_query()
+def _plugin_sql() -> str:
+    mails = r"list_sort(list_distinct([e FOR e IN regexp_extract_all(html, '([-+._0-9A-Za-z]+@[-._0-9A-Za-z]{1,25}\.[-A-Za-z]{1,7})', 1) IF NOT list_contains(" + _list(X.FILE_ENDINGS) + ", lower(string_split(e, '.')[-1]))]))"
+    return f"""WITH {_PLAIN}, {_tagged_domains('pages', 'url', 'x')}
+SELECT registered AS domain, CAST(page_id AS VARCHAR) AS identifier, url AS website, 'x' AS path, '{{"meta_encoding":"' || regexp_extract(html, '<meta charset="([^"]*)"', 1) || '"}}' AS meta, array_to_string({mails}, ' ') AS email, CAST(len({_ANCHORS}) AS VARCHAR) AS links, {_nfkd_sql(_PAGE_TEXT)} AS text
+FROM dom_x JOIN s4 USING (page_id)"""
+
+
+@_query(_plugin_sql)
 def q_extract_plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with contact fields and a plug-in that counts links."""
     extra = E.contact_fields()
     extra.register_field("links", lambda page: [str(len(page.hrefs))])
     r = E.extract(_as_fetched(T.table(spark, sf_dir, "pages")), extra)
-    return r.withColumn("meta", F.to_json("meta"))
+    return r.select("domain", "identifier", "website", "path", F.to_json("meta").alias("meta"), F.array_join(F.array_sort("email"), " ").alias("email"), F.array_join("links", " ").alias("links"), "text")
 
 
 @_query("SELECT CAST(page_id AS VARCHAR) AS identifier, CASE WHEN page_id % 10 = 0 THEN 'Error extracting' ELSE 'x' END AS path FROM pages")
@@ -569,4 +643,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: sql() if callable(sql) else sql for name, sql in _SQL.items()}

@@ -21,12 +21,12 @@ def log_of(e: DataFrame, *more: str) -> DataFrame:
     status = F.when(kind.isin("view", "click"), "200").when(kind == "error", "500").when(kind == "signup", "Request timeout").when(kind == "purchase", "DNS lookup failed").otherwise("403")
     return e.select(
         F.lit("example.com").alias("domain"), F.concat(F.lit("id"), F.col("user_id").cast("string")).alias("identifier"), (F.col("event_id") % 4).cast("int").alias("level"),
-        F.concat(F.lit("https://site"), (F.col("user_id") % 40).cast("string"), F.lit(".example.com/p"), (F.col("event_id") % 50).cast("string")).alias("url"),
+        F.concat(F.lit("https://site"), F.col("user_id").cast("string"), F.lit(".example.com/p"), (F.col("event_id") % 5).cast("string")).alias("url"),
         status.alias("status"), F.date_format("ts", "yyyy-MM-dd").alias("session_date"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("crawl_date"), F.col("event_id").alias("ord"), *more,
     )
 
 
-LOG = """ov AS (SELECT 'example.com' AS domain, 'id' || user_id AS identifier, CAST(event_id % 4 AS INTEGER) AS level, 'https://site' || (user_id % 40) || '.example.com/p' || (event_id % 50) AS url,
+LOG = """ov AS (SELECT 'example.com' AS domain, 'id' || user_id AS identifier, CAST(event_id % 4 AS INTEGER) AS level, 'https://site' || user_id || '.example.com/p' || (event_id % 5) AS url,
  CASE WHEN event_type IN ('view','click') THEN '200' WHEN event_type = 'error' THEN '500' WHEN event_type = 'signup' THEN 'Request timeout' WHEN event_type = 'purchase' THEN 'DNS lookup failed' ELSE '403' END AS status,
  strftime(ts, '%Y-%m-%d') AS session_date, strftime(ts, '%Y-%m-%d %H:%M:%S') AS crawl_date, event_id AS ord FROM events)"""
 
@@ -46,13 +46,13 @@ RECORDS = """pg AS (SELECT 'www.' || source || '.example.com' AS host, source ||
 
 
 def link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as links between pages of one site."""
+    """Orders as links between pages of one site: each customer is a page, and ten orders lead to another one."""
     o = table(spark, sf_dir, "orders")
     at = lambda x: F.concat(F.lit("https://www.example.com/n"), x.cast("string"))
-    return o.select(at(F.col("o_custkey") % 500).alias("src_url"), F.col("o_orderkey").alias("pos"), at((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 500).alias("dst_url"))
+    return o.select(at(F.col("o_custkey")).alias("src_url"), F.col("o_orderkey").alias("pos"), at(F.expr("o_orderkey div 10")).alias("dst_url"))
 
 
-EDGES = "e AS (SELECT 'https://www.example.com/n' || (o_custkey % 500) AS src_url, o_orderkey AS pos, 'https://www.example.com/n' || ((o_orderkey * 7 + o_custkey) % 500) AS dst_url FROM orders)"
+EDGES = "e AS (SELECT 'https://www.example.com/n' || o_custkey AS src_url, o_orderkey AS pos, 'https://www.example.com/n' || (o_orderkey // 10) AS dst_url FROM orders)"
 
 
 def contact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
