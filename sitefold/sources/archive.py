@@ -17,42 +17,35 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
 
 
-def zip_bytes(members: list[tuple[str, bytes]]) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_LZMA) as z:
-        for name, content in members:
-            z.writestr(name, content)
-    return out.getvalue()
-
-
 def write_archives(pages: DataFrame, path: str) -> int:
-    """Writes pages (zip_name, member, content) as path/<zip_name>.zip; a host's archive is written whole by one task, first
-    under another name, so that a repeated task replaces it. The number of archives."""
+    """Writes pages (zip_name, member, content) as path/<zip_name>.zip; a host's archive is written by one task, page by page,
+    first under another name, so that a repeated task replaces it. The number of archives."""
 
     def write(batches):
         fs, root = _open(path)
         fs.create_dir(root, recursive=True)
-        name, members = None, []
+        name = part = stream = archive = None
+        done = 0
 
-        def flush():
-            part = f"{root}/_{uuid.uuid4().hex}"
-            with fs.open_output_stream(part, compression=None) as f:
-                f.write(zip_bytes(members))
+        def close():
+            archive.close()
+            stream.close()
             fs.move(part, f"{root}/{name}.zip")
 
         for b in batches:
-            done = 0
             for n, m, c in zip(*(x.to_pylist() for x in b.columns)):
                 if n != name:
                     if name is not None:
-                        flush()
+                        close()
                         done += 1
-                    name, members = n, []
-                members.append((m, c))
-            yield pa.RecordBatch.from_arrays([pa.array([done])], names=["n"])
+                    name, part = n, f"{root}/_{uuid.uuid4().hex}"
+                    stream = fs.open_output_stream(part, compression=None)
+                    archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_LZMA)
+                archive.writestr(m, c)
         if name is not None:
-            flush()
-            yield pa.RecordBatch.from_arrays([pa.array([1])], names=["n"])
+            close()
+            done += 1
+        yield pa.RecordBatch.from_arrays([pa.array([done])], names=["n"])
 
     rows = pages.select("zip_name", "member", F.col("content").cast("binary").alias("content")).repartition("zip_name").sortWithinPartitions("zip_name", "member")
     return rows.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
@@ -60,14 +53,21 @@ def write_archives(pages: DataFrame, path: str) -> int:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """zip_name, member, content of every member of path/*.zip."""
+    names = ["zip_name", "member", "content"]
 
     def members(batches):
         for b in batches:
             for p, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                zip_name = p.rsplit("/", 1)[-1].removesuffix(".zip")
+                zip_name, rows, size = p.rsplit("/", 1)[-1].removesuffix(".zip"), [], 0
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for info in z.infolist():
-                        yield pa.RecordBatch.from_arrays([pa.array([zip_name]), pa.array([info.filename]), pa.array([z.read(info)], pa.binary())], names=["zip_name", "member", "content"])
+                        rows.append((zip_name, info.filename, z.read(info)))
+                        size += info.file_size
+                        if size > 4_000_000 or len(rows) == 512:
+                            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.string(), pa.binary()))], names=names)
+                            rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.string(), pa.binary()))], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
     return files.select("path", "content").mapInArrow(members, "zip_name string, member string, content binary")
