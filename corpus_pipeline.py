@@ -3,7 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again as the docs of the
 next one. All but the last return the columns of documents. Stage by stage: rows that are toxic go; one row of each
 group of near-duplicates stays; rows of scarce sources and languages are repeated as often as the mix asks, none goes; the
-texts are packed into sequences of 2,048 tokens.
+texts are packed into sequences of 2,048 tokens. The last two stages count tokens each for itself, as a stage hands on the
+columns of documents only.
+
+Defined results: rows with a null text aren't toxic, nor duplicates of anything, and stay until packing, for which they, like empty
+texts, have no piece; rows with a null doc_id go through like others, but have no label; of rows that are equal in text the one
+with the lowest doc_id stays, of those equal in that too just one; null sources and languages count as one of their own;
+very long texts are taken whole and packed into as many sequences as they need; without labels of both classes nothing is
+toxic; an empty table gives an empty table of packed pieces; other columns stay, whatever their names, until packing.
 """
 
 from __future__ import annotations
