@@ -13,10 +13,10 @@ __all__ = ["BROADCAST_ROWS", "cut", "filesystem", "free_name", "new_path", "remo
 BROADCAST_ROWS = 2_000_000
 
 
-def small_or_shuffled(side: DataFrame, rows: int | None = None) -> DataFrame:
+def small_or_shuffled(side: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """side with a broadcast hint if it has few enough rows, else as it is, so that Spark shuffles both sides."""
     n = side.count() if rows is None else rows
-    return F.broadcast(side) if n <= BROADCAST_ROWS else side
+    return F.broadcast(side) if n <= most else side
 
 
 def free_name(taken: list[str], name: str) -> str:

@@ -36,6 +36,8 @@ from .shared import cut, small_or_shuffled
 LITERALS, SHARE, KINDS = 20, 0.1, 2_000
 SAME, STRENGTH, PURITY = 3.84, 10.0, 0.5
 HOST_ROWS, NAMES = 200_000, 8
+#: Rows of templates up to which they are broadcast: they are some hundred bytes each.
+TEMPLATE_ROWS = 200_000
 
 
 def host_of(url: Column) -> Column:
@@ -74,7 +76,7 @@ def generalised(templates: DataFrame, host_rows: int = HOST_ROWS) -> tuple[DataF
         children = now.where(F.size("segs") > k).groupBy("host", prefix.alias("prefix"), seg.alias("seg")).agg(F.sum("n").alias("n"))
         nodes = children.groupBy("host", "prefix").agg(F.count(F.when(~F.startswith("seg", F.lit("{")), 1)).alias("kinds"), F.sum("n").alias("all"))
         varying = nodes.where((F.col("kinds") > LITERALS) & ((F.col("kinds") > SHARE * F.col("all")) | (F.col("kinds") > KINDS))).select(F.col("host").alias("_host"), F.col("prefix").alias("_prefix"))
-        joined = now.join(small_or_shuffled(varying), (F.col("host") == F.col("_host")) & (prefix == F.col("_prefix")) & (F.size("segs") > k), "left")
+        joined = now.join(small_or_shuffled(varying, most=TEMPLATE_ROWS), (F.col("host") == F.col("_host")) & (prefix == F.col("_prefix")) & (F.size("segs") > k), "left")
         at = F.lit(k)
         new = F.when(F.col("_host").isNotNull() & ~F.startswith(seg, F.lit("{")), F.transform("segs", lambda s, i: F.when(i == at, F.lit("{*}")).otherwise(s))).otherwise(F.col("segs"))
         now, k = cut(joined.select("host", "raw", new.alias("segs"), "n", "labelled", "bad")), k + 1
@@ -242,7 +244,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """page_id, url, host, template, labelled, purity, rejected of every page."""
     url = F.col("url")
     doc = F.regexp_extract(path_of(url), r"/(\d{1,18})(\.[A-Za-z]+)?$", 1)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(url).alias("host"), typed_segments(path_of(url)).alias("segs"), F.when(doc != "", doc.try_cast("long")).alias("_doc"))
+    rows = pages.select(F.col("page_id").try_cast("long").alias("page_id"), "url", host_of(url).alias("host"), typed_segments(path_of(url)).alias("segs"), F.when(doc != "", doc.try_cast("long")).alias("_doc"))
     rows = rows.withColumn("raw", F.array_join("segs", "/"))
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
     known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy(F.col("doc_id").alias("_id")).agg(F.max(bad.cast("int")).alias("_bad"))
@@ -262,7 +264,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     overall = (every[1] or 0) / every[0] if every[0] else 0.0
     host_bad = (F.col("host_bad") + STRENGTH * overall) / (F.col("host_labelled") + STRENGTH)
     purity = 1 - (F.col("bad") + STRENGTH * host_bad) / (F.col("labelled") + STRENGTH)
-    found = few.select("host", "raw", "segments").join(small_or_shuffled(made), ["host", "segments"])
+    found = few.select("host", "raw", "segments").join(small_or_shuffled(made, most=TEMPLATE_ROWS), ["host", "segments"])
     side = found.select(F.col("host").alias("_h"), F.col("raw").alias("_r"), "template", "labelled", F.round(purity, 6).alias("purity"), (F.col("host_labelled") > 0).alias("_known"))
-    out = rows.join(small_or_shuffled(side), (F.col("host") == F.col("_h")) & (F.col("raw") == F.col("_r")), "left")
+    out = rows.join(small_or_shuffled(side, most=TEMPLATE_ROWS), (F.col("host") == F.col("_h")) & (F.col("raw") == F.col("_r")), "left")
     return out.select("page_id", "url", "host", "template", "labelled", "purity", F.coalesce((F.col("purity") < PURITY) & F.col("_known"), F.lit(False)).alias("rejected"))
