@@ -11,8 +11,9 @@ Files get names that no other attempt uses, and only the rows of the attempt tha
 executors and repeated tasks do no harm.
 
 Defined results: pages without html are no captures and pages without url aren't looked up; an empty html is an empty
-payload; several captures of a key are all returned, for each page that asks; a URL without scheme and host has the key
-")" and itself; an empty table gives an empty index; other columns don't matter.
+payload, a very long one is archived whole; several captures of a key are all returned, in any order, for each page that
+asks; repeated rows are captures and look-ups each; a page_id that isn't a whole number counts as null; a URL without scheme
+and host has the key ")" and itself; an empty table gives an empty index; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -89,7 +90,7 @@ def write_archive(pages: DataFrame, path: str) -> DataFrame:
         if out:
             out.close()
 
-    held = pages.where("url is not null and html is not null").select(surt(F.col("url")).alias("key"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    held = pages.where("url is not null and html is not null").select(surt(F.col("url")).alias("key"), F.col("page_id").try_cast("long").alias("page_id"), "url", "html")
     return cut(held.mapInArrow(write, "key string, page_id long, file string, offset long, length long"))
 
 
@@ -196,7 +197,7 @@ def archive_and_look_up(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     base = new_path(spark, "warc")
     index = write_index(write_archive(pages, f"{base}/warc"), f"{base}/cdx")
-    wanted = pages.where("url is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", surt(F.col("url")).alias("key"))
+    wanted = pages.where("url is not null").select(F.col("page_id").try_cast("long").alias("page_id"), "url", surt(F.col("url")).alias("key"))
     return look_up(wanted, index, f"{base}/warc", f"{base}/cdx")
 
 
