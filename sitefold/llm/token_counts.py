@@ -25,7 +25,7 @@ from .shared import free_name
 from .tokenizer import VOCABULARY, Encoder
 
 #: Rows of a partition whose pre-tokens are counted for the table, its entries, those that a task sends, and their characters.
-TABLE_ROWS, TABLE_SIZE, TASK_SIZE, TABLE_WORD = 64, 65_536, 8_192, 64
+TABLE_ROWS, TABLE_SIZE, TASK_SIZE, TABLE_WORD = 256, 65_536, 8_192, 64
 
 
 def frequent_table(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, rows: int = TABLE_ROWS, size: int = TABLE_SIZE) -> dict[str, int]:
