@@ -262,8 +262,9 @@ def test_estimates_and_scores_equal_brute_force(spark):
     rows, labels = labelled_corpus(160)
     df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     part = {r[0]: r[1] for r in df.selectExpr("text", "pmod(xxhash64(text), 5)").collect()}
-    counts, _, n = T.counted(df.repartition(3), lab)
-    assert n == len(labels)
+    g = T.gathered(df.repartition(3), lab)
+    assert g.n == len(labels)
+    counts = T.counted(g, T.LEAST)
     for discount, ratio, without in ((0.75, 2.0, 0), (0.75, np.inf, 0), (1.5, 2.0, 3), (6.0, 16.0, 1)):
         brute, m = Brute(rows, labels, part, without), T.ratios(counts, discount, ratio, without)
         for window in (8, 0):
@@ -285,9 +286,9 @@ def test_one_hot_word_in_many_tasks(spark, monkeypatch):
     rows, labels = labelled_corpus(120)
     rows = [(i, " ".join(f"the {w}" for w in t.split())) for i, t in rows]
     df, lab = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(labels, "doc_id long, toxic int")
-    want, _, _ = T.counted(df, lab)
+    want = T.counted(T.gathered(df, lab), T.LEAST)
     monkeypatch.setattr(T, "BUCKET", 1000)
-    got, _, _ = T.counted(df.coalesce(1), lab)
+    got = T.counted(T.gathered(df.coalesce(1), lab), T.LEAST)
     for a in ("words", "shared", "follow", "sums", "pairs", "pair_counts", "history"):
         assert np.array_equal(getattr(want, a), getattr(got, a))
     keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
@@ -311,7 +312,7 @@ def test_toxicity_edge_cases(spark):
     assert T.flag_toxic(df.limit(0), lab).count() == 0
 
 
-def test_rare_toxic_words(spark):
+def test_rare_toxic_words(spark, monkeypatch):
     r = random.Random(4)
     plain = [prose(r, 40) for _ in range(70)]
     # two toxic words in 4 labelled documents each: too few for any test of significance
@@ -320,11 +321,21 @@ def test_rare_toxic_words(spark):
     rows = [(i, t) for i, t in enumerate(plain + toxic + new)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     lab = spark.createDataFrame([(i, int(i >= len(plain))) for i in range(len(rows) - 2)], "doc_id long, toxic int")
-    counts, _, _ = T.counted(df, lab)
+    counts = T.counted(T.gathered(df, lab), T.LEAST)
     one = dict(zip(counts.words.tolist(), T.ratios(counts, T.LEAST, 2.0).word_ratio))
     assert all(one[int(x)] > 1 for x in T.K.word_hash(["vile", "gross"]))
     got = {x.doc_id: x.toxicity for x in T.score(df, T.fit(df, lab)).collect()}
     assert got[len(rows) - 2] > got[len(rows) - 1]
+    # where calibration starts with discounts above the counts of both words, it goes down to lower ones
+    low = T.fit(df, lab)
+    monkeypatch.setattr(T, "FLOOR", 12 / T.gathered(df, lab).small)
+    high = T.fit(df, lab)
+    assert high.chosen["discount"] < 4 and high.chosen["f1"] >= low.chosen["f1"]
+    got = {x.doc_id: x.toxicity for x in T.score(df, high).collect()}
+    assert got[len(rows) - 2] > got[len(rows) - 1]
+    # only a model too large to be broadcast ends that
+    monkeypatch.setattr(T, "MODEL_WORDS", 1)
+    assert T.fit(df, lab).chosen["discount"] >= 12
 
 
 def test_toxic_phrase_of_ordinary_words(spark):
