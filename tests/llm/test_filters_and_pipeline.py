@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -356,6 +357,35 @@ def test_toxic_phrase_of_ordinary_words(spark):
     assert sum(r.is_toxic == (r.doc_id % 8 == 0) for r in T.flag_toxic(df, lab).collect()) >= 0.97 * len(rows)
 
 
+@pytest.mark.parametrize("held", [2_000_000, 3000])
+def test_calibration_takes_every_labelled_row(spark, monkeypatch, held):
+    monkeypatch.setattr(T, "HELD", held, raising=False)  # of any size
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    rows, labels = [], []
+    for i in range(22_000):
+        toxic = r.random() < 0.1
+        text = r.choices(words, k=6) + ([r.choice(BAD)] if toxic or r.random() < 0.03 else [])
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic if r.random() < 0.95 else not toxic)))
+    rows += [(30_000, None), (30_001, "")]
+    labels += [(30_000, 1), (30_001, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = T.fit(df, lab)
+    counts = T.counted(T.gathered(df, lab), T.LEAST)
+    y = dict(labels)
+    part = {x.doc_id: x.part for x in df.selectExpr("doc_id", "pmod(xxhash64(text), 5) part").collect()}
+    score = np.zeros(len(rows))
+    for k in range(T.PARTS):
+        m = T.ratios(counts, model.chosen["discount"], model.chosen["pair_ratio"], k + 1)
+        m.window = model.window
+        mine = [j for j, (i, _) in enumerate(rows) if part[i] == k]
+        score[mine] = T.text_scores(pa.array([rows[j][1] for j in mine], pa.string()), m)
+    cut, f1 = T.best_threshold(score, np.array([y[i] for i, _ in rows]))
+    assert (model.threshold, model.chosen["f1"]) == pytest.approx((cut, f1), abs=1e-9) and 0.5 < f1 < 1
+
+
 def test_threshold_is_best():
     y, s = np.array([1, 1, 0, 1, 0, 0]), np.array([5.0, 4.0, 3.0, 3.0, 0.0, -1.0])
     assert T.best_threshold(s, y) == (1.5, 6 / 7) and T.best_threshold(s[:0], y[:0])[0] == T.best_threshold(s, y * 0)[0] == np.inf
