@@ -357,6 +357,23 @@ def test_toxic_phrase_of_ordinary_words(spark):
     assert sum(r.is_toxic == (r.doc_id % 8 == 0) for r in T.flag_toxic(df, lab).collect()) >= 0.97 * len(rows)
 
 
+def test_calibration_counts_pairs_once_where_the_first_round_suffices(spark, monkeypatch):
+    """Further rounds try only what is new, and choose what all settings at once would have chosen."""
+    rows, labels = labelled_corpus(300)
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    g, tried, counted = T.gathered(df, lab), [], T.counted
+    monkeypatch.setattr(T, "counted", lambda g, least: tried.append(least) or counted(g, least))
+    # a start that was at 48 when the floor was 5e-6 of the smaller class's words
+    monkeypatch.setattr(T, "FLOOR", T.FLOOR * 48 / (5e-6 * g.small))
+    model = T.fit(df, lab)
+    assert tried[0] == pytest.approx(6) and len(tried) == len(set(tried))
+    monkeypatch.setattr(T, "FLOOR", 0)
+    monkeypatch.setattr(T, "LEAST", min(tried))
+    monkeypatch.setattr(T, "STEPS", 10 + 3 * (len(tried) - 1))
+    every = T.fit(df, lab)
+    assert every.chosen == model.chosen and every.threshold == model.threshold
+
+
 def many_labels():
     r = random.Random(8)
     words = [f"w{k}" for k in range(400)]
