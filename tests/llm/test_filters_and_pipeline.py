@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from sitefold.llm import mixing, packing
+from sitefold.llm import mixing, packing, token_counts
 from sitefold.llm import simhash_forest as S
 from sitefold.llm import toxicity as T
 from sitefold.llm.tokenizer import VOCABULARY, Encoder
@@ -474,6 +474,17 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert packing.check_fill(got) > 0.9
 
 
+@pytest.mark.parametrize("stage", [corpus_pipeline.mixing_stage, corpus_pipeline.packing_stage])
+def test_pipeline_counts_pretokens_of_every_row(spark, monkeypatch, tmp_path, stage):
+    rows = [(i, "early word" if i < 300 else "later word" if i < 900 else None, "en", "s", 10) for i in range(901)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    tables, count = [], token_counts.frequent_table
+    monkeypatch.setattr(token_counts, "frequent_table", lambda *x: tables.append(count(*x)) or tables[-1])
+    assert stage(spark, docs, str(tmp_path)).count() >= 900
+    enc = Encoder.get(VOCABULARY).enc
+    assert tables == [{t: len(enc.encode_ordinary(t)) for t in ("early", "later", " word")}]
+
+
 def test_stages_keep_the_columns_of_documents(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "mixing_to_target_weights", "best_fit_packing"]
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

@@ -1,6 +1,7 @@
 """Array kernel, tokenizer, token counts (8), token store (3), packing (9)."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -58,6 +59,21 @@ def test_counts_with_any_table(spark):
     assert a == b
 
 
+def test_table_counts_every_row(spark, monkeypatch):
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(12_000)]
+    lists = [r.choices(words[: 6000 if i < 400 else 12_000], k=60) for i in range(900)] + [["late"]] * 40
+    want = Counter(t for x in lists for t in (x[0], *(f" {w}" for w in x[1:])))
+    enc = Encoder.get(VOCABULARY).enc
+    order = sorted((-n, t) for t, n in want.items() if n > 1)
+    df = documents(spark, [" ".join(x) for x in lists] + [None, "", "y" * 65, "y" * 65]).coalesce(1)
+    for held in (1_000_000, 5000, 0):  # a task's counts at once, in parts, and block by block
+        monkeypatch.setattr(C, "TASK_WORDS", held, raising=False)
+        for size in (C.TABLE_SIZE, 50):
+            assert C.frequent_table(df, size=size) == {t: len(enc.encode_ordinary(t)) for _, t in order[:size]}
+    assert len(order) > 8192 and (-40, "late") in order[:50]
+
+
 def alike(n):
     """Two words of 2**n letters whose polynomial hashes modulo 2**64 are equal."""
     a = "".join("ab"[k.bit_count() % 2] for k in range(1 << n))
