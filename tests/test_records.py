@@ -32,6 +32,27 @@ def test_odd_markup_is_read():
         parse(text)
 
 
+def test_named_references_need_their_semicolon(spark):
+    p = parse("<p>R&ampD &amp; &copy2 &notit; &amp;lt; &#65; &#66 &eacute;&am</p>x&amp<br>&&&amp<a href='/q?a=1&copy=2&amp;b=3'>&amp")
+    assert p.pieces == ["R&ampD & &copy2 &notit; &lt; A B é&am", "x&amp", "&&&amp", "&amp"] and p.hrefs == ["/q?a=1&copy=2&b=3"]
+    assert parse("<script>&amp</script>a<!-- &amp -->b<&amp>").raw_text == "a\nb<&amp>"
+
+
+@pytest.mark.parametrize("name", ["q_extract_plugin"])
+def test_text_of_cut_references_matches_its_sql(spark, tmp_path, name):
+    from sitefold.plans import catalogue
+
+    from .oracle import TABLES, assert_same
+
+    html = '<html><head><meta charset="utf-8"></head><body><ul><li><a href="/and">and&amp</a></li></ul><p>one&&&amp<p>&copy &copy;&middot two&amp;</p>mail a@b.nl&nbsp</body></html>'
+    spark.createDataFrame([(1, "https://a.nl/x", html)], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    for t in TABLES:
+        if t != "pages":
+            (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    sql = catalogue.oracle_sql()[name].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert_same(catalogue.queries()[name](spark, str(tmp_path)), sql, "/root/testdata/sf0.001")
+
+
 def test_one_bad_page_ends_no_job(spark):
     from sitefold.operators import links as L
 
