@@ -38,7 +38,7 @@ def test_named_references_need_their_semicolon(spark):
     assert parse("<script>&amp</script>a<!-- &amp -->b<&amp>").raw_text == "a\nb<&amp>"
 
 
-@pytest.mark.parametrize("name", ["q_extract_plugin", "q_page_text"])
+@pytest.mark.parametrize("name", ["q_extract_plugin", "q_page_text", "q_page_text_nfkd"])
 def test_text_of_cut_references_matches_its_sql(spark, tmp_path, name):
     from sitefold.plans import catalogue
 
