@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .urls import SPLIT, _col
+from .urls import _col, authority
+from .urls import let as _let
 
 _SYSTEM_LIST = "/usr/share/publicsuffix/public_suffix_list.dat"
 #: Both have to be in a list for it to be taken as one.
@@ -92,13 +93,7 @@ def default_rules() -> SuffixRules:
 def host_of(url: Column | str) -> Column:
     """Lower-case host: the authority, or the whole text if it has none, up to the first slash, then colon."""
     u = _col(url)
-    a = F.regexp_extract(u, SPLIT, 4)
-    return F.lower(F.regexp_extract(F.when(a != "", a).otherwise(u), r"^([^/:]*)", 1))
-
-
-def _let(value: Column, body) -> Column:
-    """body(value), with value evaluated once however often body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.lower(F.regexp_extract(F.coalesce(F.nullif(authority(u), F.lit("")), u), r"^([^/:]*)", 1))
 
 
 def _labels(host: Column) -> Column:
@@ -139,10 +134,14 @@ def _by_lookup(host: Column, rules: SuffixRules) -> Column:
 EXPRESSION_RULES = 200
 
 
+def _many(rules: SuffixRules) -> bool:
+    return len(rules.plain) + len(rules.wild) + len(rules.exceptions) > EXPRESSION_RULES
+
+
 def by_suffix(host: Column, rules: SuffixRules) -> Column:
     """The public suffix of a host and one label more; null if no rule fits or nothing is left of the suffix.
     Exceptions go before the longest rule; "*." takes one label more than its parent."""
-    if len(rules.plain) + len(rules.wild) + len(rules.exceptions) > EXPRESSION_RULES:
+    if _many(rules):
         return _by_lookup(host, rules)
 
     def listed(labels: Column) -> Column:
@@ -164,20 +163,22 @@ def by_suffix(host: Column, rules: SuffixRules) -> Column:
 def registered_domain(url: Column | str, rules: SuffixRules | None = None) -> Column:
     """The domain that a crawl stays in. "www." goes wherever it stands in the host; digits alone are an address; the suffix
     list is asked only for hosts like a.bcd.ef, all others give their last two labels."""
-    full = host_of(url)
+    full, rules = host_of(url), rules or default_rules()
 
-    def of(x: Column) -> Column:
-        host = F.replace(x["full"], F.lit("www."), F.lit(""))
+    def of(full: Column, listed: Column) -> Column:
+        host = F.replace(full, F.lit("www."), F.lit(""))
 
         def named(labels: Column) -> Column:
-            n = F.size(labels)
-            ask = (n >= 3) & (F.length(F.try_element_at(labels, F.lit(-1))) == 2) & (F.length(F.try_element_at(labels, F.lit(-2))) <= 3)
-            listed = F.replace(x["listed"], F.lit("www."), F.lit(""))
-            return F.when(_all_digits(labels), F.array_join(labels, ".")).when(ask, F.coalesce(listed, _last_two(labels))).when(n >= 2, _last_two(labels)).otherwise(host)
+            last_two = F.regexp_extract(labels, r"([^.]+\.[^.]+)\z", 1)
+            ask = labels.rlike(r"\.[^.]{1,3}\.[^.]{2}\z")
+            own = F.replace(listed, F.lit("www."), F.lit(""))
+            return F.when(labels.rlike(r"^[0-9]+(\.[0-9]+)*\z"), labels).when(ask, F.coalesce(own, last_two)).when(labels.contains("."), last_two).otherwise(host)
 
-        return _let(_labels(host), named)
+        return _let(F.regexp_replace(F.regexp_replace(host, r"\.{2,}", "."), r"^\.|\.\z", ""), named)  # the labels, without empty ones
 
-    return _let(F.struct(full.alias("full"), by_suffix(full, rules or default_rules()).alias("listed")), of)
+    if _many(rules):  # no Python function in a lambda
+        return _let(F.struct(full.alias("full"), by_suffix(full, rules).alias("listed")), lambda x: of(x["full"], x["listed"]))
+    return _let(full, lambda x: of(x, by_suffix(x, rules)))  # looked up only where it is asked for
 
 
 def clean_domain(url: Column | str, rules: SuffixRules | None = None) -> Column:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: RFC 3986, appendix B, with a scheme as that RFC's section 3.1 spells it; a dot matches line ends too.
 SPLIT = r"(?s)^(([A-Za-z][A-Za-z0-9+.\-]*):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?$"
+#: Groups 2, 4, 5, 7 and 9 of SPLIT, each read no further than it has to be.
+_SCHEME, _AUTHORITY, _PATH = r"^([A-Za-z][A-Za-z0-9+.\-]*):", r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
+_QUERY, _FRAGMENT = r"^[^?#]*\?([^#]*)", r"(?s)^[^#]*#(.*)"
 #: Prefixes of links that name no page.
 NO_PAGE = r"(?i)^(mailto|mail|tel|javascript):"
 
@@ -15,24 +18,29 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scheme(url: Column | str) -> Column:
-    return F.lower(F.regexp_extract(_col(url), SPLIT, 2))
+    return F.lower(F.regexp_extract(_col(url), _SCHEME, 1))
 
 
 def authority(url: Column | str) -> Column:
-    return F.regexp_extract(_col(url), SPLIT, 4)
+    return F.regexp_extract(_col(url), _AUTHORITY, 1)
 
 
 def path(url: Column | str) -> Column:
-    return F.regexp_extract(_col(url), SPLIT, 5)
+    return F.regexp_extract(_col(url), _PATH, 1)
 
 
 def query(url: Column | str) -> Column:
-    return F.regexp_extract(_col(url), SPLIT, 7)
+    return F.regexp_extract(_col(url), _QUERY, 1)
 
 
 def fragment(url: Column | str) -> Column:
-    return F.regexp_extract(_col(url), SPLIT, 9)
+    return F.regexp_extract(_col(url), _FRAGMENT, 1)
 
 
 def _trimmed(url: Column) -> Column:
@@ -61,7 +69,7 @@ def normalize_source_url(url: Column | str) -> Column:
 
 def clean_url(url: Column | str) -> Column:
     """Identity of a URL within a crawl: schemes and "www." go wherever they stand, also inside a query."""
-    return F.regexp_replace(_col(url), r"(https?://)?(www\.)?", "")
+    return F.regexp_replace(_col(url), r"https?://(?:www\.)?|www\.", "")
 
 
 def url_extension(url: Column | str) -> Column:
@@ -97,6 +105,12 @@ def resolve_link(page: Column | str, href: Column | str, base: str = "site") ->
     return F.when(scheme(h) != "", h).when(h.startswith("//"), F.concat(scheme(p), F.lit(":"), h)).otherwise(F.concat(root, joined, rest))
 
 
+def keeps_host(page: Column | str, href: Column | str) -> Column:
+    """Whether a link's URL has the page's authority because it names none, whatever the base: known without resolving it."""
+    h = F.trim(_col(href))
+    return (scheme(page) != "") & (authority(page) != "") & (scheme(h) == "") & ~h.startswith("//")
+
+
 def page_path(domain: Column | str, url: Column | str, session_date: Column | str) -> Column:
     """Where a page is archived: domain / host without "www." / date / last part of the URL. URLs with one last part share it."""
     u = _col(url)

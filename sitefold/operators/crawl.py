@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.domains import SuffixRules, host_of, registered_domain
 from ..functions.robots import allowed as robots_allowed
 from ..functions.rules import Rules, classify_url, load_rules
-from ..functions.urls import authority, clean_url, page_path, path, query, with_scheme
+from ..functions.urls import authority, clean_url, keeps_host, let, page_path, path, query, with_scheme
 from ..shared import cut
 from . import links as L
 from .overview import rows as log_rows
@@ -116,12 +116,13 @@ def crawl(seeds: DataFrame, store, today: str, config: CrawlConfig | None = None
     if log is not None:
         start = skip_recent(start, log, today, c.recrawl_days)
     seed = F.xxhash64("url", F.coalesce("identifier", F.lit("")))
-    start = start.select(seed.alias("seed"), "url", F.coalesce("identifier", registered_domain("url", c.suffixes)).alias("identifier"), (F.regexp_replace(host_of("url"), r"www\.", "") if c.strict_host else registered_domain("url", c.suffixes)).alias("site")).dropDuplicates(["seed"])
-    lost = start.where(authority("url") == "").select("seed", F.lit(0).cast("long").alias("rank"), "identifier", F.lit(0).alias("level"), "url", F.lit(NO_SITE).alias("status"), F.lit(NO_SITE_PATH).alias("path"))
-    start = cut(start.where(authority("url") != ""))
+    start = start.select(seed.alias("seed"), "url", "identifier").dropDuplicates(["seed"]).withColumn("domain", registered_domain("url", c.suffixes))
+    start = cut(start.select("seed", "url", F.coalesce("identifier", "domain").alias("identifier"), "domain", (F.regexp_replace(host_of("url"), r"www\.", "") if c.strict_host else F.col("domain")).alias("site")))
+    lost = start.where(authority("url") == "").select("seed", F.lit(0).cast("long").alias("rank"), "identifier", F.lit(0).alias("level"), "url", F.lit(NO_SITE).alias("status"), F.lit(NO_SITE_PATH).alias("path"), "domain")
+    start = start.where(authority("url") != "")
     in_store = isinstance(store, DataFrame)
     index, links = _of_store(store, start, c) if in_store else (None, None)
-    frontier = start.select("seed", "url", "identifier", "site", F.lit(0).alias("level"), F.lit(0).cast("long").alias("rank"))
+    frontier = start.select("seed", "url", clean_url("url").alias("key"), "identifier", "site", "domain", F.lit(0).alias("level"), F.lit(0).cast("long").alias("rank"))
     seen = out = None
     for level in range(c.max_level):
         if robots is not None:
@@ -130,7 +131,7 @@ def crawl(seeds: DataFrame, store, today: str, config: CrawlConfig | None = None
         used = start.select("seed", F.lit(0).cast("long").alias("used")) if out is None else out.groupBy("seed").agg(F.count("*").alias("used"))
         visited = cut(budgeted(frontier, used, c.max_pages).withColumn("followed", classify_url("url", "level", c.rules)))
         out = visited if out is None else out.unionByName(visited)
-        keys = visited.select("seed", clean_url("url").alias("key"))
+        keys = visited.select("seed", "key")
         seen = keys if seen is None else seen.unionByName(keys)
         if not in_store:
             got = store.fetch(visited.where("followed").select(F.col("site").alias("domain"), "url").distinct(), level)
@@ -139,13 +140,16 @@ def crawl(seeds: DataFrame, store, today: str, config: CrawlConfig | None = None
             links = L.hrefs(got.where("html is not null and status = '200'").withColumn("key", clean_url("url")), keep=("key",)).select("key", "pos", "href")
         if level + 1 == c.max_level:
             break
-        found = visited.where("followed").join(links, clean_url("url") == F.col("key")).withColumn("dst_url", L.resolve_link("url", "href", c.link_base))
-        near = found.where(registered_domain("dst_url", c.suffixes) == F.col("site")).select("seed", "identifier", "site", L.strip_query_and_fragment("dst_url").alias("url"), F.struct("rank", "pos").alias("at")).withColumn("key", clean_url("url"))
+        # links that name no host stay in their page's domain; the others are resolved to tell
+        dst = L.resolve_link("url", "href", c.link_base)
+        inside = F.when(keeps_host("url", "href"), F.col("domain") == F.col("site")).otherwise(registered_domain(dst, c.suffixes) == F.col("site"))
+        found = visited.where("followed").select("seed", "identifier", "site", "domain", "rank", "url", "key").join(links, "key").where(inside)
+        near = found.select("seed", "identifier", "site", F.struct("rank", "pos").alias("at"), let(L.strip_query_and_fragment(dst), lambda u: F.struct(u.alias("url"), clean_url(u).alias("key"))).alias("to")).select("seed", "identifier", "site", "at", "to.*")
         fresh = near.join(seen, ["seed", "key"], "left_anti").groupBy("seed", "identifier", "site", "key").agg(F.min_by("url", "at").alias("url"), F.min("at").alias("at"))
         rank = F.row_number().over(Window.partitionBy("seed").orderBy("at")).cast("long")
-        frontier = fresh.select("seed", "url", "identifier", "site", F.lit(level + 1).alias("level"), rank.alias("rank"))
-    answers = index.select(F.col("key").alias("_key"), F.col("status").alias("_status"))
-    done = out.where("followed").join(answers, clean_url("url") == F.col("_key"), "left")
-    rows = done.select("seed", "rank", "identifier", "level", "url", F.coalesce("_status", F.lit("404")).alias("status"), F.when(F.col("_status") == "200", page_path("site", "url", F.lit(today))).alias("path"))
+        frontier = fresh.select("seed", "url", "key", "identifier", "site", F.col("site").alias("domain"), F.lit(level + 1).alias("level"), rank.alias("rank"))
+    answers = index.select("key", F.col("status").alias("_status"))
+    done = out.where("followed").join(answers, "key", "left")
+    rows = done.select("seed", "rank", "identifier", "level", "url", F.coalesce("_status", F.lit("404")).alias("status"), F.when(F.col("_status") == "200", page_path("site", "url", F.lit(today))).alias("path"), "domain")
     dated = rows.unionByName(lost).withColumns({"session_date": F.lit(today), "crawl_date": F.concat(F.lit(today), F.lit(" 00:00:00"))})
-    return log_rows(dated, c.suffixes, "seed", "rank")
+    return log_rows(dated, c.suffixes, "seed", "rank", domain="domain")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.domains import SuffixRules, registered_domain
-from ..functions.html import parse
+from ..functions import html as H
 from ..functions.urls import resolve_link, strip_query_and_fragment
 
 
@@ -17,9 +17,9 @@ def hrefs(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[st
     go on."""
     schema = T.StructType([T.StructField("src_url", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("href", T.StringType()), *(pages.schema[c] for c in keep)])
 
-    def of(u, h):
+    def of(h):
         try:
-            return parse(h, u).hrefs
+            return H.hrefs(h)
         except Exception:  # one bad page mustn't end the job
             return []
 
@@ -29,7 +29,7 @@ def hrefs(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[st
                 part = b.slice(a, 512)
                 row, src, pos, href = [], [], [], []
                 for k, (u, h) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
-                    found = of(u, h)
+                    found = of(h)
                     row += [k] * len(found)
                     src += [u] * len(found)
                     pos += range(len(found))

@@ -16,11 +16,11 @@ KEY = ("domain", "url", "session_date", "status")
 SCHEMA = "domain string, identifier string, level int, url string, status string, session_date string, crawl_date string, path string"
 
 
-def rows(fetched: DataFrame, rules: SuffixRules | None = None, *keep: str) -> DataFrame:
+def rows(fetched: DataFrame, rules: SuffixRules | None = None, *keep: str, domain: str | None = None) -> DataFrame:
     """Log rows of fetched pages (identifier, level, url, status, session_date, crawl_date, path), and columns to keep: the domain
-    is that of the URL, or the URL itself for other schemes."""
+    is that of the URL, which a column may hold already, or the URL itself for other schemes."""
     other = F.substring("url", 1, 6).contains(":") & ~F.col("url").startswith("http")
-    return fetched.select(F.when(other, F.col("url")).otherwise(registered_domain("url", rules)).alias("domain"), "identifier", F.col("level").cast("int").alias("level"), "url", F.col("status").cast("string").alias("status"), "session_date", "crawl_date", "path", *keep)
+    return fetched.select(F.when(other, F.col("url")).otherwise(F.col(domain) if domain else registered_domain("url", rules)).alias("domain"), "identifier", F.col("level").cast("int").alias("level"), "url", F.col("status").cast("string").alias("status"), "session_date", "crawl_date", "path", *keep)
 
 
 def success_window(log: DataFrame, start: str = "0000-01-01", end: str = "9999-01-01") -> DataFrame:
